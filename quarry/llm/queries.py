@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, exact, packing, pii
+from quarry.llm import chat, exact, langid, packing, pii, toxicity
 from quarry.llm.common import table
 
 #: A real run takes its key from a secret store; equal keys give equal pseudonyms.
@@ -22,6 +22,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.keepers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -31,6 +39,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii, op3_exact_dedup, op9_chat, op10_packing)
+    f.__name__: f for f in (op2_pii, op3_exact_dedup, op5_toxicity, op8_language_id, op9_chat, op10_packing)
 }
 SQL: dict[str, str] = {"op3_exact_dedup": exact.SQL, "op9_chat": chat.SQL}

@@ -37,6 +37,15 @@ def classes() -> np.ndarray:
     return out
 
 
+@functools.lru_cache(1)
+def lower_case() -> np.ndarray:
+    """Lower case of every code point that has one of a single code point, else itself."""
+    low = (chr(i).lower() for i in range(0x20000))
+    out = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    out[:0x20000] = [ord(c) if len(c) == 1 else i for i, c in enumerate(low)]
+    return out
+
+
 @functools.lru_cache(1)
 def scatter() -> np.ndarray:
     """A fixed random 64-bit value per code point."""
@@ -76,16 +85,12 @@ def codepoints(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
         texts = texts.combine_chunks()
     if texts.null_count:
         texts = pc.fill_null(texts, "")
-    if lower:
-        parts = [t.lower() for t in texts.to_pylist()]
-        lens = np.fromiter(map(len, parts), np.int64, len(parts))
-    else:
-        parts = texts.to_pylist()
-        lens = np.fromiter(map(len, parts), np.int64, len(parts))
+    parts = texts.to_pylist()
+    lens = np.fromiter(map(len, parts), np.int64, len(parts))
     whole = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
     offsets = np.zeros(len(parts) + 1, np.int64)
     np.cumsum(lens, out=offsets[1:])
-    return whole, offsets
+    return (lower_case()[whole] if lower else whole), offsets
 
 
 def batches(texts: pa.Array, budget: int = 2_000_000):
@@ -127,9 +132,13 @@ def span_hash(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased words (runs of letters and digits): hash, text number, start and end.
 
-    Starts and ends count code points of the lower-cased batch.
+    Starts and ends count code points of the batch.
     """
-    cps, offsets = codepoints(texts, lower=True)
+    return words_of(*codepoints(texts, lower=True))
+
+
+def words_of(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, as in `words`, of lower-cased code points."""
     word = (classes()[cps] - np.uint8(1)) < 2
     starts = runs(word.view(np.uint8), offsets)
     ends = np.append(starts[1:], len(cps))

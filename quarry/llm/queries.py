@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, exact, langid, packing, pii, toxicity
+from quarry.llm import chat, decontam, exact, langid, packing, pii, simhash, toxicity
 from quarry.llm.common import table
 
 #: A real run takes its key from a secret store; equal keys give equal pseudonyms.
@@ -26,6 +26,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii, op3_exact_dedup, op5_toxicity, op8_language_id, op9_chat, op10_packing)
+    f.__name__: f for f in (op2_pii, op3_exact_dedup, op5_toxicity, op6_decontamination, op7_near_dedup, op8_language_id, op9_chat, op10_packing)
 }
 SQL: dict[str, str] = {"op3_exact_dedup": exact.SQL, "op9_chat": chat.SQL}

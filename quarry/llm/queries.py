@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, decontam, exact, langid, packing, pii, simhash, toxicity
+from quarry.llm import chat, decontam, exact, langid, packing, pii, simhash, tokens, toxicity
 from quarry.llm.common import table
 
 #: A real run takes its key from a secret store; equal keys give equal pseudonyms.
 PII_KEY = b"example key of the registered query"
 
+#: Where the public vocabularies lie on the driver; Spark carries the one that is used to the executors.
+VOCABULARY = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
+
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
@@ -22,6 +26,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.keepers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.binary_ids(table(spark, sf_dir, "documents"), VOCABULARY)[0]
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +55,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii, op3_exact_dedup, op5_toxicity, op6_decontamination, op7_near_dedup, op8_language_id, op9_chat, op10_packing)
+    f.__name__: f for f in (op2_pii, op3_exact_dedup, op4_token_ids, op5_toxicity, op6_decontamination, op7_near_dedup, op8_language_id, op9_chat, op10_packing)
 }
 SQL: dict[str, str] = {"op3_exact_dedup": exact.SQL, "op9_chat": chat.SQL}

@@ -17,7 +17,7 @@ BITS = 18
 #: Besides each word, its beginnings of these lengths are features: a stem counts whatever its ending.
 PREFIXES = (4, 5, 6, 7)
 #: At most so many labelled documents are fitted to.
-SAMPLE = 12_000
+SAMPLE = 4_000
 _ENDS = np.array([ord(c) for c in ".!?\n…。！？"], np.uint32)
 
 
@@ -76,17 +76,18 @@ def fit(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, toxic: np.nd
     """
     n, m = len(toxic), len(doc)
     values = np.random.default_rng(5).random(1 << BITS)
-    _, said = np.unique(_sums(values[feature], sentence, m), return_inverse=True)  # equal sentences, equal numbers
-    pairs, first = np.unique(feature * np.int64(max(m, 1)) + said[sentence], return_index=True)
-    bad = toxic[doc[sentence[first]]] if len(first) else np.zeros(0, bool)
-    held = np.bincount(pairs // max(m, 1), minlength=1 << BITS)
-    in_toxic = np.bincount(pairs[bad] // max(m, 1), minlength=1 << BITS)
+    _, once = np.unique(_sums(values[feature], sentence, m), return_index=True)  # equal sentences, equal sums
+    bad, good = np.zeros(m, bool), np.zeros(m, bool)
+    bad[once], good[once] = toxic[doc[once]], ~toxic[doc[once]]
+    in_toxic = np.bincount(feature[bad[sentence]], minlength=1 << BITS)
+    held = in_toxic + np.bincount(feature[good[sentence]], minlength=1 << BITS)
+    bad = bad[once]
     share = bad.mean() if len(bad) else 0.5
     z = np.abs(in_toxic - share * held) / np.sqrt(np.maximum(held, 1) * max(1e-9, share * (1 - share)))
     known = np.flatnonzero(z >= spread)
     place = np.full(1 << BITS, -1, np.int64)
     place[known] = np.arange(len(known))
-    keep = place[feature] >= 0
+    keep = (place >= 0)[feature]
     f, s = place[feature[keep]], sentence[keep]
     size = 1.0 / (0.1 * held[known] + 2.0)
     w, bias = np.zeros(len(known)), float(np.log(max(1, toxic.sum()) / max(1, m)))
@@ -124,16 +125,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     kind = dict(docs.dtypes)["doc_id"]
     got = named.select("doc_id", "text", "y").mapInArrow(features, f"doc_id {kind}, y boolean, f binary, s binary").toArrow()
     got = got.sort_by("doc_id")
-    _, first = np.unique(np.array([hash((f, s)) for f, s in zip(got["f"].to_pylist(), got["s"].to_pylist())], np.int64), return_index=True)
-    got = got.take(pa.array(np.sort(first)))  # a text repeated many times counts once
+    _, first = np.unique(np.array([hash((f.as_py(), s.as_py())) for f, s in zip(got["f"], got["s"])], np.int64), return_index=True)
+    got = got.take(pa.array(np.sort(first))).combine_chunks()  # a text repeated many times counts once
     toxic = np.array(got["y"].to_pylist(), bool)
     if toxic.all() or not toxic.any():
         return None
-    fs = [np.frombuffer(x, "<i4").astype(np.int64) for x in got["f"].to_pylist()]
-    ss = [np.frombuffer(x, "<i4").astype(np.int64) for x in got["s"].to_pylist()]
-    counts = np.array([int(x[-1]) + 1 if len(x) else 0 for x in ss])
-    begun = np.cumsum(counts) - counts
-    return fit(np.concatenate(fs), np.concatenate([x + a for x, a in zip(ss, begun)]), np.repeat(np.arange(len(toxic)), counts), toxic)
+    f, s = (_joined(got[c]) for c in ("f", "s"))
+    words = np.array([len(x.as_buffer()) // 4 for x in got["f"]], np.int64)
+    del got
+    last = np.cumsum(words) - 1
+    counts = np.where(words > 0, s[np.maximum(last, 0)] + 1 if len(s) else 0, 0)
+    s = s + np.repeat(np.cumsum(counts) - counts, words).astype(np.int32)
+    return fit(f, s, np.repeat(np.arange(len(toxic)), counts), toxic)
+
+
+def _joined(binaries: pa.ChunkedArray) -> np.ndarray:
+    """All values end to end, as 32-bit integers."""
+    a = pa.concat_arrays(binaries.chunks)
+    offsets = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, a.offset * 4)
+    return np.frombuffer(a.buffers()[2] or b"", "<i4", (offsets[-1] - offsets[0]) // 4, offsets[0])
 
 
 def _scores(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -50,7 +50,7 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     _made.append((spark, path))
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema if not partition_by else spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

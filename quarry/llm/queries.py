@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, decontam, exact, langid, packing, pii, simhash, tokens, toxicity
+from quarry.llm import chat, decontam, exact, katz, langid, packing, pii, simhash, tokens, toxicity
 from quarry.llm.common import table
 
 #: A real run takes its key from a secret store; equal keys give equal pseudonyms.
@@ -17,6 +17,10 @@ PII_KEY = b"example key of the registered query"
 VOCABULARY = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
 
@@ -55,6 +59,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii, op3_exact_dedup, op4_token_ids, op5_toxicity, op6_decontamination, op7_near_dedup, op8_language_id, op9_chat, op10_packing)
+    f.__name__: f for f in (op1_katz, op2_pii, op3_exact_dedup, op4_token_ids, op5_toxicity, op6_decontamination, op7_near_dedup, op8_language_id, op9_chat, op10_packing)
 }
 SQL: dict[str, str] = {"op3_exact_dedup": exact.SQL, "op9_chat": chat.SQL}

@@ -59,7 +59,7 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _sums(x: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(group, x, n)
+    return np.bincount(group, x, n).astype(float)
 
 
 def fit(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, toxic: np.ndarray, rounds: int = 200, noise: float = 0.02, penalty: float = 0.3, spread: float = 5.0) -> Model:

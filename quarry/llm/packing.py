@@ -26,9 +26,16 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     open_at: list[list[tuple[int, tuple | None]]] = [[] for _ in range(capacity + 1)]  # by room left
     most = 0
     done: list[tuple[int, tuple]] = []
+    def put(room: int, count: int, pack: tuple) -> None:
+        nonlocal most
+        if room:
+            open_at[room].append((count, pack))
+            most = max(most, room)
+        else:
+            done.append((count, pack))
+
     for length in sorted((x for x, n in histogram.items() if n > 0), reverse=True):
         left = histogram[length]
-        placed: list[tuple[int, int, tuple]] = []
         while left:
             while most and not open_at[most]:
                 most -= 1
@@ -37,16 +44,18 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[Pattern]:
                 use = min(count, left)
                 if count > use:
                     open_at[most].append((count - use, pack))
-                room = most - length
-            else:
-                use, pack, room = left, None, capacity - length
-            left -= use
-            placed.append((room, use, (pack, length)))
-            if room:
-                open_at[room].append((use, (pack, length)))
-                most = max(most, room)
-            else:
-                done.append((use, (pack, length)))
+                put(most - length, use, (pack, length))
+                left -= use
+            else:  # new packs: each takes as many of this length as it holds before the next is begun
+                each = capacity // length
+                full, rest = divmod(left, each)
+                for count, n in ((full, each), (1, rest)):
+                    if count and n:
+                        pack = None
+                        for _ in range(n):
+                            pack = (pack, length)
+                        put(capacity - n * length, count, pack)
+                left = 0
     done += [x for at in open_at for x in at]
     out = []
     for count, pack in done:

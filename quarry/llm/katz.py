@@ -36,7 +36,7 @@ LAST_CUTOFF = 2
 K = 5
 #: Share that larger counts give away, so that every history can back off.
 RESERVE = 1e-4
-BLOCK_CHARS, BUCKET_BYTES = 8_000_000, 32_000_000
+BLOCK_CHARS, BUCKET_BYTES = 8_000_000, 16_000_000
 END = np.uint64(0xD1B54A32D192ED03)
 
 _TEXTS = "block bigint, ids array<{kind}>, lengths array<bigint>, words binary, n_words bigint, numbers binary, n_tokens bigint"

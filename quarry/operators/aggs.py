@@ -378,7 +378,7 @@ def response(found: list[Table], nodes: list[Node], under: tuple[str, ...] = ())
         if n.spec.get("keyed"):
             answer = {"buckets": {str(b.get("key_as_string", b["key"])): b for b in out}}
         if n.kind == "terms":
-            whole = sum(r["all_docs"] for r in totals[path] if all(r[k] == v for k, v in parents.items()))
+            whole = sum(r["all_docs"] or 0 for r in totals[path] if all(r[k] == v for k, v in parents.items()))
             answer = {"doc_count_error_upper_bound": 0, "sum_other_doc_count": whole - sum(b["doc_count"] for b in out), **answer}
         return answer
 

@@ -413,7 +413,7 @@ def match_field(ctx: Context, path: str, f: Field, value, op: str, lenient: bool
         return nothing()
     tokens = ctx.tokens(path, f)
     if op == "and":
-        match = all_of([F.array_contains(tokens, t) for t in dict.fromkeys(terms)])
+        match = let(tokens, lambda toks: all_of([F.array_contains(toks, t) for t in dict.fromkeys(terms)]))
     else:
         match = F.arrays_overlap(tokens, F.array(*map(F.lit, dict.fromkeys(terms)))) if len(set(terms)) > 1 else F.array_contains(tokens, terms[0])
     return Scored(F.coalesce(match, F.lit(False)) if op == "or" else match, total([term_score(ctx, path, f, t) for t in terms]))
@@ -430,22 +430,33 @@ def slop_of(body: dict) -> None:
         raise Unsupported("[slop] over 0 is not supported")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once per row, however often `body` uses it and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def phrase_tf(tokens: Column, terms: list[tuple[int, str]]) -> Column:
     """Places where all terms stand at their distances."""
-    def here(i: Column) -> Column:
-        return all_of([F.get(tokens, i + k) == t for k, t in terms])
+    def places(toks: Column) -> Column:
+        def here(i: Column) -> Column:
+            return all_of([F.get(toks, i + k) == t for k, t in terms])
+
+        return F.when(F.size(toks) > 0, F.size(F.filter(F.sequence(F.lit(0), F.size(toks) - 1), here))).otherwise(0)
 
-    return F.when(F.size(tokens) > 0, F.size(F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), here))).otherwise(0)
+    return let(tokens, places)
 
 
 def phrase_leaf(ctx: Context, path: str, f: Field, terms: list[tuple[int, str]]) -> Scored:
     tokens = ctx.tokens(path, f)
-    has = all_of([F.array_contains(tokens, t) for t in dict.fromkeys(t for _, t in terms)])
-    tf = phrase_tf(tokens, terms)
+
+    def found(toks: Column) -> Column:
+        has = all_of([F.array_contains(toks, t) for t in dict.fromkeys(t for _, t in terms)])
+        return F.when(has, phrase_tf(toks, terms) > 0).otherwise(F.lit(False))
+
     n = ctx.stat(f"n {path}", lambda: F.count_if(ctx.length(path, f) > 0))
     length = ctx.stat(f"len {path}", lambda: F.sum(ctx.length(path, f)))
     idf = sum(ctx.idf(f"{path} {t}", lambda t=t: F.array_contains(ctx.tokens(path, f), t), n) for _, t in terms)
-    return Scored(has & (tf > 0), bm25(idf, tf, ctx.length(path, f), length / n if n else 1.0))
+    return Scored(let(tokens, found), bm25(idf, phrase_tf(tokens, terms), ctx.length(path, f), length / n if n else 1.0))
 
 
 def phrase_field(ctx: Context, path: str, f: Field, value, lenient: bool = False) -> Scored:

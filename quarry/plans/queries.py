@@ -143,19 +143,18 @@ def bm25_sql(terms: list[str], table: str = "documents", key: str = "doc_id", te
 hits("match_or_bm25", "documents", {"match": {"text": "That the nicht"}}, ["doc_id"], bm25_sql(["that", "the", "nicht"]) + " ORDER BY _score DESC, doc_id LIMIT 25", page=(0, 25), score=True)
 hits("match_and_bm25", "documents", {"match": {"text": {"query": "of with this", "operator": "AND"}}}, ["doc_id"], bm25_sql(["of", "with", "this"], op="AND"), score=True)
 hits("match_conversations", "conversations", {"match": {"text": "and"}}, ["conv_id", "turn"], f"SELECT conv_id, turn FROM conversations WHERE list_contains({tokens_sql('text')}, 'and')")
-hits("phrase_docs", "documents", {"match_phrase": {"text": "of the"}}, ["doc_id"], f"WITH d AS (SELECT doc_id, {tokens_sql('text')} AS toks FROM documents) SELECT doc_id FROM d WHERE len(toks) > 0 AND list_bool_or(list_transform(range(1, len(toks) + 1), lambda i: coalesce(toks[i] = 'of' AND toks[i + 1] = 'the', false)))")
-_TF = "list_count(list_filter(range(1, len(toks) + 1), lambda i: coalesce(toks[i] = 'of' AND toks[i + 1] = 'the', false)))"
+_PAIRS = f"WITH d AS (SELECT doc_id, {tokens_sql('text')} AS toks FROM documents), p AS (SELECT doc_id, t, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (SELECT doc_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM d))"
+hits("phrase_docs", "documents", {"match_phrase": {"text": "of the"}}, ["doc_id"], f"{_PAIRS} SELECT DISTINCT doc_id FROM p WHERE t = 'of' AND nxt = 'the'")
 hits(
     "phrase_scored", "documents", {"match_phrase": {"text": "of the"}}, ["doc_id"],
-    f"WITH d AS (SELECT doc_id, toks, {_TF} AS tf FROM (SELECT doc_id, {tokens_sql('text')} AS toks FROM documents)), "
+    f"{_PAIRS}, f AS (SELECT doc_id, count(*) AS tf FROM p WHERE t = 'of' AND nxt = 'the' GROUP BY 1), "
     "s AS (SELECT count(*) FILTER (len(toks) > 0) AS n, sum(len(toks)) * 1.0 / count(*) FILTER (len(toks) > 0) AS avgdl, sum(list_contains(toks, 'of')::INT) AS d1, sum(list_contains(toks, 'the')::INT) AS d2 FROM d) "
-    "SELECT doc_id, round((ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks) / avgdl)), 6) AS _score FROM d, s WHERE tf > 0",
+    "SELECT doc_id, round((ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks) / avgdl)), 6) AS _score FROM d JOIN f USING (doc_id), s",
     score=True,
 )
 hits(
     "phrase_prefix", "documents", {"match_phrase_prefix": {"text": {"query": "of th", "max_expansions": 5}}}, ["doc_id"],
-    f"WITH d AS (SELECT doc_id, {tokens_sql('text')} AS toks FROM documents), e AS (SELECT list(t) AS ts FROM (SELECT DISTINCT t FROM (SELECT unnest(toks) AS t FROM d) WHERE starts_with(t, 'th') ORDER BY t LIMIT 5)) "
-    "SELECT doc_id FROM d, e WHERE len(toks) > 0 AND list_bool_or(list_transform(range(1, len(toks) + 1), lambda i: coalesce(toks[i] = 'of' AND list_contains(ts, toks[i + 1]), false)))",
+    f"{_PAIRS} SELECT DISTINCT doc_id FROM p WHERE t = 'of' AND nxt IN (SELECT DISTINCT t FROM p WHERE starts_with(t, 'th') ORDER BY t LIMIT 5)",
 )
 
 

@@ -30,8 +30,8 @@ from quarry.llm.textvec import MULT, batches, mix, words
 
 #: Order of the registered model.
 ORDER = 2
-#: Grams of the highest order seen but once count as unseen, as is usual: they say the least and are the most.
-LAST_CUTOFF = 2
+#: Smallest count of the highest order that is kept: all grams seen, once too, have their discounted probability.
+LAST_CUTOFF = 1
 #: Counts up to this are discounted by Good and Turing's estimate.
 K = 5
 #: Share that larger counts give away, so that every history can back off.
@@ -418,8 +418,8 @@ def score(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES)
     """One row per row of `docs`: doc_id, n_tokens, log_prob, perplexity, under the model of all of them.
 
     Tokens are the lower-cased words and an end mark.  A gram of the highest
-    order that is seen at least twice has its Good-Turing discounted share of
-    its history; any other token has the history's backoff weight times its
+    order that is seen has its Good-Turing discounted share of its history, one
+    seen once too; any other token has the history's backoff weight times its
     probability one order lower, down to single words, whose discounts leave a
     share to unknown ones.  Weights are such that each history's probabilities
     sum to one.  Where the corpus is too small for Good and Turing's estimate

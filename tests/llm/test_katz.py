@@ -115,3 +115,19 @@ def test_repeated_rows_and_null_ids(spark):
     rows = spark.createDataFrame([(1, "a b a b"), (1, "a b a b"), (None, "a b c")], "doc_id bigint, text string")
     got = katz.score(rows).collect()
     assert len(got) == 3 and len({r["log_prob"] for r in got if r["doc_id"] == 1}) == 1
+
+
+def test_grams_seen_once_are_kept(spark):
+    rows = spark.createDataFrame(DOCS, "doc_id bigint, text string")
+    _, counts, _ = brute([t for _, t in DOCS], 2)
+    assert 1 in counts[1].values()
+    model = katz.train(rows, 2, bucket_bytes=300)
+    assert sum(r["size"] for r in model.grams.where("kind = 'grams' AND n = 2").collect()) == len(counts[1])
+    got = {r["doc_id"]: r["log_prob"] for r in katz.score(rows, 2).collect()}
+    factors = model.numbers.factors
+    total = sum(counts[0].values())
+    words = [*DOCS[1][1].split(), "</s>"]  # "dog sat", "the log" and "log </s>" are seen once
+    expected = math.log(factors[0][min(counts[0][("the",)], katz.K + 1)] * counts[0][("the",)] / total)
+    for g in zip(words, words[1:]):
+        expected += math.log(factors[1][min(counts[1][g], katz.K + 1)] * counts[1][g] / counts[0][g[:1]])
+    assert got[2] == pytest.approx(expected, rel=1e-6)

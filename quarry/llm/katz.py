@@ -29,7 +29,7 @@ from quarry.llm.common import text_bytes, written
 from quarry.llm.textvec import MULT, batches, mix, words
 
 #: Order of the registered model.
-ORDER = 2
+ORDER = 3
 #: Smallest count of the highest order that is kept: all grams seen, once too, have their discounted probability.
 LAST_CUTOFF = 1
 #: Counts up to this are discounted by Good and Turing's estimate.

@@ -131,3 +131,14 @@ def test_grams_seen_once_are_kept(spark):
     for g in zip(words, words[1:]):
         expected += math.log(factors[1][min(counts[1][g], katz.K + 1)] * counts[1][g] / counts[0][g[:1]])
     assert got[2] == pytest.approx(expected, rel=1e-6)
+
+
+def test_registered_order_knows_trigrams(spark):
+    # x is followed by c after a and by d after b: only a trigram tells them apart
+    texts = ["a x c", "b x d"] * 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["log_prob"] for r in katz.score(rows).collect()}
+    _, _, p = brute(texts, 3)
+    words = ["a", "x", "c", "</s>"]
+    assert got[0] == pytest.approx(sum(math.log(p(w, tuple(words[max(0, k - 2) : k]))) for k, w in enumerate(words)), rel=1e-5)
+    assert got[0] > math.log(1 / 9)  # one in 8 for a as a unigram; a bigram model gives c one in 2 after x

@@ -334,9 +334,16 @@ register(
     lambda spark, sf_dir: search(parties(spark, sf_dir), {"query": {"range": {"balance": {"gte": 5000}}}, "sort": [{"balance": "desc"}], "size": 200}).hits.select("_index", "key", "balance"),
     f"SELECT _index, key, balance FROM {_PARTIES} WHERE balance >= 5000 ORDER BY balance DESC, _index, key LIMIT 200",
 )
+
+
+def multi_index_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(parties(spark, sf_dir), {"query": {"bool": {"should": [{"term": {"segment": "BUILDING"}}, {"range": {"balance": {"lt": 0}}}]}}, "sort": "key"}, allow_unmapped=False)
+    return found.everything.orderBy(*found.order).select("_index", "key")
+
+
 register(
     "multi_index_unmapped",
-    lambda spark, sf_dir: search(parties(spark, sf_dir), {"query": {"bool": {"should": [{"term": {"segment": "BUILDING"}}, {"range": {"balance": {"lt": 0}}}]}}, "sort": "key", "size": 5000}, allow_unmapped=False).hits.select("_index", "key"),
+    multi_index_unmapped,
     f"SELECT _index, key FROM {_PARTIES} WHERE segment = 'BUILDING' OR balance < 0 ORDER BY key, _index LIMIT 5000",
 )
 

@@ -204,3 +204,9 @@ def test_binary_ids_round_trip(spark):
     assert back == sorted((str(i), x or "") for i, x in rows)
     empty, none = tokens.binary_ids(t.limit(0), VOCABULARY)
     assert empty.collect() == [] and none.collect() == []
+
+
+@pytest.mark.parametrize("n", [2, 1_000, 10_000, 200_000, 12_000_000, 2**31])
+def test_recall_holds_at_the_threshold(n):
+    bits, tables = simhash.plan(n)
+    assert 1 - (1 - (1 - simhash.NEAR / simhash.BITS) ** bits) ** tables >= 0.95

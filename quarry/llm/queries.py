@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import chat, decontam, exact, katz, langid, packing, pii, simhash, tokens, toxicity
 from quarry.llm.common import table
@@ -31,7 +32,9 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.binary_ids(table(spark, sf_dir, "documents"), VOCABULARY)[0]
+    """Rows of kind ids, one for each document, and of kind rank, the table that decodes them."""
+    encoded, ranks = tokens.binary_ids(table(spark, sf_dir, "documents"), VOCABULARY)
+    return encoded.withColumn("kind", F.lit("ids")).unionByName(ranks.withColumn("kind", F.lit("rank")), allowMissingColumns=True)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.llm import decontam, simhash, tokens
-from quarry.llm.queries import VOCABULARY
+from quarry.llm.queries import QUERIES, VOCABULARY
 
 # -- decontamination ---------------------------------------------------------------------------
 
@@ -210,3 +210,15 @@ def test_binary_ids_round_trip(spark):
 def test_recall_holds_at_the_threshold(n):
     bits, tables = simhash.plan(n)
     assert 1 - (1 - (1 - simhash.NEAR / simhash.BITS) ** bits) ** tables >= 0.95
+
+
+@needs_vocabulary
+def test_registered_ids_decode_from_the_result_alone(spark, tmp_path):
+    docs = [(1, "the sea, the sea"), (2, "over the hills"), (3, None), (4, "")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op4_token_ids"](spark, str(tmp_path)).collect()
+    token = {r["rank"]: r["token"] for r in rows if r["kind"] == "rank"}
+    with open(VOCABULARY, "rb") as f:
+        piece = {int(k): base64.b64decode(b) for b, k in map(bytes.split, f)}
+    back = {r["doc_id"]: b"".join(piece[token[x]] for x in tokens.decode(r["control"], r["data"], r["n_tokens"]).tolist()).decode() for r in rows if r["kind"] == "ids"}
+    assert back == {i: x or "" for i, x in docs}

@@ -268,7 +268,7 @@ def _buckets(df: DataFrame, n: Node, parents: list[str], path: tuple[str, ...])
             order.append(c.desc() if way == "desc" else c.asc())
         order.append(F.col(key).asc())
         kept = grouped.where(F.col("doc_count") >= least)
-        size = min(n.spec.get("size", 10), MOST_BUCKETS)
+        size = min(n.spec.get("size", 10), 2**31 - 1)
         if parents:
             w = Window.partitionBy(*parents).orderBy(*order)
             kept = kept.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= size).drop("__rank")
@@ -345,8 +345,11 @@ def _metric_answer(n: Node, row: dict, prefix: str = "") -> dict:
 
 
 def response(found: list[Table], nodes: list[Node], under: tuple[str, ...] = ()) -> dict:
-    """Tables, which hold no more rows than buckets were asked for, as the nested answer."""
-    by_path = {t.path: (t, [r.asDict() for r in t.df.limit(MOST_BUCKETS).collect()]) for t in found}
+    """Tables as the nested answer; one with more than MOST_BUCKETS rows is refused, not cut."""
+    by_path = {t.path: (t, [r.asDict() for r in t.df.limit(MOST_BUCKETS + 1).collect()]) for t in found}
+    for path, (_, rows) in by_path.items():
+        if len(rows) > MOST_BUCKETS:
+            raise IllegalArgument(f"[{'.'.join(path)}] has more than {MOST_BUCKETS} buckets")
     totals = {t.path: [r.asDict() for r in t.totals.collect()] for t in found if t.totals is not None}
 
     def buckets(n: Node, path: tuple[str, ...], parents: dict) -> dict:

@@ -49,7 +49,13 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    clean, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    try:  # the table is what stays: shuffle files go when it is written
+        before = spark.conf.get(clean, "false")
+        spark.conf.set(clean, "true")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -465,6 +465,8 @@ def _sums(num: Numbers, order: int):
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in given:
             for row in b.to_pylist():
+                if not row["size"]:  # all that asked here were others than the corpus
+                    continue
                 grams = Grams.unpacked(row)
                 at = grams.heads()
                 taken, seen = np.add.reduceat(num.share(order, grams.count), at), np.add.reduceat(grams.count, at)

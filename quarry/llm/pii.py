@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date
 from hashlib import blake2b
@@ -13,31 +14,83 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 ROUNDS = 8
-_DAY0, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
-_LATIN = "".join(chr(i) for i in range(0xDF, 0x100) if i != 0xF7)
-_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", _LATIN)
-_PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
+#: Letters of a local part that one permutation covers; longer parts take several, so that numbers stay small.
+PIECE = 64
+_FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+#: Calling codes of one and of two digits; all others have three.
+_ONE, _TWO = {"1", "7"}, set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Characters of an IBAN by country.
+_IBAN = dict(
+    pair.split(":") for pair in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20".split()
+)
 
-_EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")
+_LOCAL = re.compile(r"[\w.+%-]")
+_DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _NUMBERS = re.compile(
     r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.+-])\d{3}-\d{3}-\d{4}(?![\w-]))"
+    r"|(?P<ssn>(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<card>(?<![\w.+-])(?:\d{4}([ -])\d{4}\5\d{4}\5\d{4}|\d{4}([ -])\d{6}\6\d{5}|\d{13,19})(?!\w|[.-]\d))"
+    r"|(?P<card>(?<![\w.+-])(?:\d{4}([ -])\d{4}\6\d{4}\6\d{4}|\d{4}([ -])\d{6}\7\d{5}|\d{13,19})(?!\w|[.-]\d))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?!\w))",
+    re.ASCII,
 )
 
 
-def feistel(x: int, size: int, key: bytes, kind: str) -> int:
-    """Keyed permutation of 0 .. size-1: a Feistel network over two mixed-radix halves, walked until inside."""
+@functools.lru_cache(4096)
+def alphabet(c: str) -> tuple[str, int] | None:
+    """The small letters or digits that may stand for a character, and its place among them; None for other characters.
+
+    They are of its script and kind, from the same 256 code points.
+    """
+    kind = unicodedata.category(c)
+    if kind[0] != "L" and kind != "Nd" or c.lower() != c:
+        return None
+
+    def name(x: str) -> str:
+        return unicodedata.name(x, "").split(" ")[0]
+
+    page = (chr(i) for i in range(ord(c) & ~0xFF, (ord(c) | 0xFF) + 1))
+    if c.isascii():
+        page = filter(str.isascii, page)
+    same = "".join(x for x in page if unicodedata.category(x) == kind and x.lower() == x and name(x) == name(c) and (c.isascii() or not x.isascii()) and _upper(x) == _upper(c))
+    return same, same.index(c)
+
+
+def _upper(c: str) -> bool:
+    """Whether a letter has a capital of one character that has it as its small letter."""
+    return len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c
+
+
+@functools.lru_cache(1)
+def _calendar() -> tuple[dict[int, tuple[int, int]], list[list[int]]]:
+    """Class and place of every date, and the dates by class: days and months of one digit, of two, and days past 12 apart.
+
+    A date's stand-in is of its class, so it can be written just as the date was,
+    and read just as it could be: padded or not, day first or month first.
+    """
+    where, classes = {}, [[] for _ in range(6)]
+    for x in range(_FIRST, _LAST + 1):
+        d = date.fromordinal(x)
+        k = 3 * (d.month > 9) + (d.day > 9) + (d.day > 12)
+        where[x] = k, len(classes[k])
+        classes[k].append(x)
+    return where, classes
+
+
+def feistel(x: int, size: int, key: bytes, kind: str, back: bool = False) -> int:
+    """Keyed permutation of 0 .. size-1, or its inverse: a Feistel network over two mixed-radix halves, walked until inside."""
     if size < 2:
         return x
     a = int((size - 1) ** 0.5) + 1
     b = -(-size // a)
     while True:
         left, right = divmod(x, b)
-        for r in range(ROUNDS):
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
             seen = f"{kind}:{size}:{r}:{left if r % 2 else right}".encode()
             f = int.from_bytes(blake2b(seen, key=key, digest_size=16).digest(), "big")
+            if back:
+                f = -f
             if r % 2:
                 right = (right + f) % b
             else:
@@ -47,6 +100,14 @@ def feistel(x: int, size: int, key: bytes, kind: str) -> int:
             return x
 
 
+def permuted(x: int, size: int, key: bytes, kind: str) -> int:
+    """Keyed permutation of 0 .. size-1 that leaves nothing in its place: a step of a keyed length between a permutation and its inverse."""
+    if size < 2:
+        return x
+    step = 1 + int.from_bytes(blake2b(f"{kind}:{size}".encode(), key=key, digest_size=16).digest(), "big") % (size - 1)
+    return feistel((feistel(x, size, key, kind, True) + step) % size, size, key, kind)
+
+
 def luhn(digits: str) -> bool:
     twice = (sum(divmod(2 * int(c), 10)) for c in digits[-2::-2])
     return (sum(map(int, digits[-1::-2])) + sum(twice)) % 10 == 0
@@ -61,7 +122,7 @@ def _card(value: str, key: bytes) -> str | None:
     digits = re.sub(r"\D", "", value)
     if not luhn(digits) or len(set(digits)) == 1:
         return None
-    body = f"{feistel(int(digits[:-1]), 10 ** (len(digits) - 1), key, 'card'):0{len(digits) - 1}d}"
+    body = f"{permuted(int(digits[:-1]), 10 ** (len(digits) - 1), key, 'card'):0{len(digits) - 1}d}"
     return _refill(value, next(body + c for c in "0123456789" if luhn(body + c)))
 
 
@@ -69,9 +130,48 @@ def _phone(value: str, key: bytes) -> str | None:
     digits = re.sub(r"\D", "", value)
     if not 8 <= len(digits) <= 15:
         return None
-    code = len(re.match(r"\+(\d{1,3}(?=\D)|\d)|", value)[1] or "")
-    own = digits[code:]
-    return _refill(value, digits[:code] + f"{feistel(int(own), 10 ** len(own), key, f'phone{len(own)}'):0{len(own)}d}")
+    if value[0] != "+":  # the formats of North America, without its code
+        code, own = "1", digits
+    else:
+        n = 1 if digits[0] in _ONE else 2 if digits[:2] in _TWO else 3
+        code, own = digits[:n], digits[n:]
+    new = f"{permuted(int(own), 10 ** len(own), key, f'phone{code}:{len(own)}'):0{len(own)}d}"
+    return _refill(value, digits[: len(digits) - len(own)] + new)
+
+
+def _ssn(value: str, key: bytes) -> str | None:
+    area, group, serial = map(int, value.split("-"))
+    if not 0 < area < 900 or area == 666 or not group or not serial:
+        return None
+    x = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+    x, serial = divmod(permuted(x, 898 * 99 * 9999, key, "ssn"), 9999)
+    area, group = divmod(x, 99)
+    area += 1 + (area >= 665)
+    return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
+
+
+def _checked(country: str, body: str) -> int:
+    """Check digits of an IBAN."""
+    return 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+
+
+def _iban(value: str, key: bytes) -> str | None:
+    plain = value.replace(" ", "")
+    country, check, body = plain[:2], plain[2:4], plain[4:]
+    if _IBAN.get(country) != str(len(plain)) or f"{_checked(country, body):02d}" != check:
+        return None
+    x, size = 0, 1
+    for c in body:
+        n = 10 if c.isdigit() else 26
+        x, size = x * n + (int(c) if n == 10 else ord(c) - 65), size * n
+    form = "".join("9" if c.isdigit() else "A" for c in body)
+    x, out = permuted(x, size, key, f"iban{country}{form}"), []
+    for c in reversed(form):
+        x, r = divmod(x, 10 if c == "9" else 26)
+        out.append(str(r) if c == "9" else chr(65 + r))
+    body = "".join(reversed(out))
+    it = iter(f"{country}{_checked(country, body):02d}{body}")
+    return "".join(c if c == " " else next(it) for c in value)
 
 
 def _ip(value: str, key: bytes) -> str | None:
@@ -82,7 +182,7 @@ def _ip(value: str, key: bytes) -> str | None:
     x, size = 0, 1
     for o, (low, n) in zip(octets, spans):
         x, size = x * n + int(o) - low, size * n
-    x, out = feistel(x, size, key, "ip"), []
+    x, out = permuted(x, size, key, "ip"), []
     for low, n in reversed(spans):
         x, r = divmod(x, n)
         out.append(str(low + r))
@@ -97,41 +197,57 @@ def _date(value: str, key: bytes) -> str | None:
     if swapped:
         m, d = d, m
     try:
-        x = date(y, m, d).toordinal() - _DAY0
+        x = date(y, m, d).toordinal()
     except ValueError:
         return None
-    if not 0 <= x < _DAYS:
+    if not _FIRST <= x <= _LAST:
         return None
-    new = date.fromordinal(_DAY0 + feistel(x, _DAYS, key, "date"))
-    m, d = (new.day, new.month) if swapped else (new.month, new.day)
-    if iso:
-        return f"{new.year}-{m:02d}-{d:02d}"
+    where, classes = _calendar()
+    k, place = where[x]
+    new = date.fromordinal(classes[k][permuted(place, len(classes[k]), key, f"date{k}")])
+    numbers = (new.year, new.month, new.day) if iso else (new.month, new.day, new.year) if swapped else (new.day, new.month, new.year)
     sep = value[len(parts[0])]
-    return f"{d:02d}{sep}{m:02d}{sep}{new.year}"
+    return sep.join(f"{n:0{len(p)}d}" for n, p in zip(numbers, parts))
 
 
-def _email(value: str, key: bytes) -> str:
+def _email(value: str, key: bytes) -> str | None:
     local, at, domain = value.rpartition("@")
-    low = [c.lower() if len(c.lower()) == 1 else c for c in local]
-    x, size = 0, 1
-    for c in low:
-        if c in _PLACE:
-            alphabet, i = _PLACE[c]
-            x, size = x * len(alphabet) + i, size * len(alphabet)
-    x, out = feistel(x, size, key, "email:" + domain.lower()), []
-    for c, was in zip(reversed(low), reversed(local)):
-        if c in _PLACE:
-            alphabet = _PLACE[c][0]
-            x, r = divmod(x, len(alphabet))
-            new = alphabet[r]
-            c = new.upper() if was != c and len(new.upper()) == 1 else new
+    low = [c.lower() if len(c.lower()) == 1 and c.lower().upper() == c else c for c in local]
+    places = [i for i, c in enumerate(low) if alphabet(c) is not None]
+    out, total = list(local), 1
+    for begin in range(0, len(places), PIECE):
+        piece = places[begin : begin + PIECE]
+        x, size = 0, 1
+        for i in piece:
+            letters, k = alphabet(low[i])
+            x, size = x * len(letters) + k, size * len(letters)
+        total *= min(size, 2)
+        x = permuted(x, size, key, f"email{begin}:{domain.lower()}")
+        for i in reversed(piece):
+            letters, _ = alphabet(low[i])
+            x, r = divmod(x, len(letters))
+            out[i] = letters[r].upper() if low[i] != local[i] else letters[r]
+    return "".join(out) + at + domain if total > 1 else None
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the addresses, in time linear in the text."""
+    done = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and _LOCAL.match(text[start - 1]):
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+            done = m.end()
         else:
-            c = was
-        out.append(c)
-    return "".join(reversed(out)) + at + domain
+            done = at + 1
+        at = text.find("@", done)
 
 
-_BY_KIND: dict[str, Callable[[str, bytes], str | None]] = {"card": _card, "phone": _phone, "ip": _ip, "date": _date, "email": _email}
+_BY_KIND: dict[str, Callable[[str, bytes], str | None]] = {"card": _card, "phone": _phone, "ssn": _ssn, "iban": _iban, "ip": _ip, "date": _date, "email": _email}
 
 
 @functools.lru_cache(200_000)
@@ -143,9 +259,10 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[dict]]:
     """The text with its private values replaced, and what was found: kind, start and end in the given text, replacement."""
     spans = []
-    if "@" in text:
-        for m in _EMAIL.finditer(text):
-            spans.append((m.start(), m.end(), "email", pseudonym("email", m.group(), key)))
+    for start, end in emails(text):
+        new = pseudonym("email", text[start:end], key)
+        if new is not None:
+            spans.append((start, end, "email", new))
     taken = list(spans)
     i = 0
     for m in _NUMBERS.finditer(text):
@@ -172,18 +289,25 @@ _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """One row per row of `docs`: doc_id, text, n_replaced, found.
 
-    Card numbers (Luhn), phone numbers (8 to 15 digits), IPv4 addresses (octets
-    up to 255), dates (of the calendar, 1900 to 2099) and the local parts of
-    e-mail addresses are replaced, each by a permutation of its own format under
-    `key`: digits stay digits, separators stay, a card's check digit fits, a
-    date is a date.  Equal values get equal pseudonyms in all documents, whatever
-    their separators or case, and different values different ones.  Numbers that
-    fail their check are left alone.
+    Card numbers (Luhn), phone numbers (8 to 15 digits, with a + and country code
+    or as written in North America), social security numbers (of ranges that are
+    given out), IBANs (length and check digits), IPv4 addresses (octets up to
+    255), dates (of the calendar, 1900 to 2099) and the local parts of e-mail
+    addresses are replaced, each by a permutation of its own format under `key`:
+    digits stay digits, letters stay letters of their script, separators, country
+    codes and widths stay, check digits fit, a date is a date that can be written
+    in the same way.  Equal values get equal pseudonyms in all documents, whatever
+    their separators, padding or case, and different values of a format different
+    ones; none stays as it was.  Numbers that fail their check are left alone and aren't reported, nor are
+    addresses whose local part has no letter or digit to permute.
 
     Defined cases: a null text stays null with nothing found; an empty text
-    stays empty; repeated rows give repeated rows; an empty table gives an empty
-    result; other columns are not looked at.  Start and end count code points of
-    the given text.
+    stays empty; a text of any length is searched whole, in time linear in it,
+    and a local part of any length is permuted in pieces of 64 letters; of
+    overlapping finds the e-mail address, then the earlier one counts; repeated
+    rows give repeated rows; an empty table gives an empty result; doc_id may
+    have any type; other columns are not looked at.  Start and end count code
+    points of the given text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,5 +322,5 @@ def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
                 names=["doc_id", "text", "n_replaced", "found"],
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, n_replaced int, found array<struct<kind:string,start:int,end:int,replacement:string>>")

@@ -1,15 +1,17 @@
 """Decontamination, near-dedup and token ids against brute force."""
 
 import base64
+import math
 import os
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.llm import decontam, simhash, tokens
 from quarry.llm.queries import QUERIES, VOCABULARY
@@ -114,7 +116,10 @@ def near_corpus():
 def test_groups_equal_brute_force(spark):
     docs = near_corpus()
     t = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, group_id int")
-    got = dict(map(tuple, simhash.groups(t).collect()))
+    rows = simhash.groups(t).collect()
+    got = {r["doc_id"]: r["group_id"] for r in rows}
+    size = Counter(got.values())
+    assert all(r["n_links"] == size[r["group_id"]] - 1 for r in rows)
     prints, _ = simhash.fingerprints(pa.array([x for _, x in docs]))
     pairs = [(i, j) for i in range(len(docs)) for j in range(i) if simhash.distance(prints[i], prints[j]) <= simhash.NEAR]
     assert len(pairs) > 200
@@ -130,9 +135,50 @@ def test_pivots_only_discard_far_pairs():
     rng = np.random.default_rng(4)
     p = rng.integers(0, 2**64, (400, 2), np.uint64, endpoint=False)
     p[200:] = p[:200] ^ (np.uint64(1) << rng.integers(0, 64, (200, 2)).astype(np.uint64))
-    table = simhash.pivot_table(p, simhash.pivots())
+    table = simhash.pivot_table(p, simhash.base())
     i, j = np.triu_indices(400, 1)
     assert (simhash.near(p, table, i, j) == (simhash.distance(p[i], p[j]) <= simhash.NEAR)).all()
+    assert (simhash.pivot_bound(table[i], table[j]) <= simhash.distance(p[i], p[j])).all()
+
+
+def test_the_bound_is_the_largest_difference_over_all_pivots():
+    """Over bits that fall into 6 blocks, with the 64 references that complement some of them written out."""
+    rng = np.random.default_rng(3)
+    p = np.zeros((30, 2), np.uint64)
+    p[:, 0] = rng.integers(0, 2**12, 30).astype(np.uint64)
+    ref = simhash.base()
+    family = []
+    for mask in range(64):
+        flip = sum(3 << (2 * k) for k in range(6) if mask >> k & 1)
+        family.append(ref ^ np.array([flip, 0], np.uint64))
+    distances = np.stack([simhash.distance(p, r) for r in family])
+    table = simhash.pivot_table(p, ref)
+    i, j = np.triu_indices(30, 1)
+    assert (np.abs(distances[:, i] - distances[:, j]).max(0) == simhash.pivot_bound(table[i], table[j])).all()
+
+
+def test_pivots_discard_most_far_candidates(spark):
+    """Of the far pairs that tables propose, on real texts, the pivots leave few to verify."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    texts = pa.array([r[0] for r in spark.read.parquet(path).where("doc_id % 3 = 0").select("text").collect()], pa.string())
+    prints, count = simhash.fingerprints(texts)
+    prints = np.unique(prints[count > 0], axis=0)
+    table, zero = simhash.pivot_table(prints, simhash.base()), np.zeros(len(prints), np.uint64)
+    bits, n = simhash.plan(len(prints))
+    far = kept = 0
+    for t, at in enumerate(simhash.tables(bits, n)):
+        key = simhash.table_key(np.ascontiguousarray(prints).view(np.uint8), zero, t, at)
+        order = np.argsort(key)
+        for step in range(1, 40):
+            i, j = order[:-step], order[step:]
+            same = key[i] == key[j]
+            i, j = i[same], j[same]
+            apart = simhash.distance(prints[i], prints[j]) > simhash.NEAR
+            far += int(apart.sum())
+            kept += int((simhash.pivot_bound(table[i], table[j])[apart] <= simhash.NEAR).sum())
+    assert far > 10_000 and kept < 0.1 * far
 
 
 @pytest.mark.parametrize("small", [2, 5, 1000])
@@ -140,12 +186,41 @@ def test_buckets_of_any_size(small):
     rng = np.random.default_rng(6)
     key = np.sort(rng.integers(0, 6, 200))
     p = rng.integers(0, 2**64, (20, 2), np.uint64, endpoint=False)[rng.integers(0, 20, 200)] ^ (np.uint64(1) << rng.integers(0, 64, (200, 2)).astype(np.uint64))
-    got = simhash.bucket_edges(key, p, simhash.pivots(), small)
+    got = simhash.bucket_edges(key, p, small)
     i, j = np.triu_indices(200, 1)
     ok = (key[i] == key[j]) & (simhash.distance(p[i], p[j]) <= simhash.NEAR)
     assert (got == simhash.roots(200, i[ok], j[ok])).all()
 
 
+def test_a_large_bucket_of_far_prints_is_divided():
+    rng = np.random.default_rng(7)
+    p = rng.integers(0, 2**64, (6000, 2), np.uint64, endpoint=False)
+    p[3000:] = p[:3000]
+    for k in range(3000, 6000):  # each one's partner is 12 bits away
+        for bit in rng.choice(128, 12, replace=False):
+            p[k, bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+    root = simhash.bucket_edges(np.zeros(6000, np.uint64), p)
+    assert (root[:3000] == root[3000:]).mean() > 0.99 and len(np.unique(root)) >= 3000
+
+
+@pytest.mark.parametrize("n, heavy", [(300, 10), (4000, 2_000_000), (4000, 200)])
+def test_recall_of_pairs_at_the_threshold(spark, n, heavy):
+    """Pairs exactly 20 bits apart, in one hot cluster of bits or spread, are linked as often as is promised."""
+    rng = np.random.default_rng(n)
+    p = rng.integers(0, 2**64, (n, 2), np.uint64, endpoint=False)
+    if heavy < n:  # a third agree on the first word, so that tables on its bits have a hot key
+        p[: n // 3, 0] = p[0, 0]
+    q = p.copy()
+    for k in range(n):
+        for bit in rng.choice(128, simhash.NEAR, replace=False):
+            q[k, bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+    both = np.concatenate([p, q]).view(np.int64)
+    rows = spark.createDataFrame([(int(a), int(b), k) for k, (a, b) in enumerate(both)], "f1 bigint, f2 bigint, node bigint").repartition(5)
+    found = dict(map(tuple, simhash.components(simhash.links(rows, 2 * n, heavy)).collect()))
+    linked = sum(found.get(k, k) == found.get(k + n, k + n) for k in range(n))
+    assert linked >= (simhash.RECALL - 0.02) * n
+
+
 def test_components_of_chains(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 60) if k not in (20, 45)] + [(100, 200), (200, 100), (7, 7)]
@@ -158,11 +233,20 @@ def test_near_dedup_edges(spark):
     rows = [(1, None), (2, ""), (3, "?!"), (4, "same words here"), (5, "same words here"), (5, "same words here"), (None, "same words here"), (6, "long words " * 100_000)]
     t = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, f1 int")
     got = sorted(map(tuple, simhash.groups(t).collect()), key=str)
-    assert got == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (5, 4), (None, None), (6, 6)], key=str)
+    assert got == sorted([(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 2), (5, 4, 2), (5, 4, 2), (None, None, 0), (6, 6, 0)], key=str)
     assert sorted(str(r["doc_id"]) for r in simhash.keep_one(t).collect()) == ["1", "2", "3", "4", "6", "None"]
     assert simhash.groups(t.limit(0)).collect() == [] and simhash.keep_one(t.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(20,0)"])
+def test_near_dedup_with_any_id_type(spark, kind):
+    rows = [("1", "one text of words"), ("1", "quite another story altogether"), ("2", "quite another story altogether"), ("3", "one text of words")]
+    t = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = sorted((str(r["doc_id"]), str(r["group_id"]), r["n_links"]) for r in simhash.groups(t).collect())
+    assert got == [("1", "1", 1), ("1", "1", 1), ("2", "1", 1), ("3", "1", 1)]
+    assert sorted(r["text"] for r in simhash.keep_one(t).collect()) == [rows[0][1], rows[1][1]]
+
+
 # -- token ids ------------------------------------------------------------------------------------------
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no public vocabulary here")
@@ -206,10 +290,12 @@ def test_binary_ids_round_trip(spark):
     assert empty.collect() == [] and none.collect() == []
 
 
-@pytest.mark.parametrize("n", [2, 1_000, 10_000, 200_000, 12_000_000, 2**31])
+@pytest.mark.parametrize("n", [2, 1_000, 10_000, 200_000, 12_000_000, 2**31, 10**11])
 def test_recall_holds_at_the_threshold(n):
     bits, tables = simhash.plan(n)
-    assert 1 - (1 - (1 - simhash.NEAR / simhash.BITS) ** bits) ** tables >= 0.95
+    agree = math.comb(simhash.BITS - bits, simhash.NEAR) / math.comb(simhash.BITS, simhash.NEAR)  # none of the bits that differ is drawn
+    assert agree == pytest.approx(simhash.meeting(bits))
+    assert 1 - (1 - agree * simhash.WITHIN) ** tables >= 0.95
 
 
 @needs_vocabulary

@@ -6,7 +6,7 @@ import re
 import time
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from quarry.functions.patterns import glob
 from quarry.operators import aggs as facets
 from quarry.operators.mapping import Mapping, column, of_schema
 from quarry.plans.compiler import Context, Scored, compiled
+from quarry.sources.tables import saved
+from quarry.sources.terms import ROW, Terms, build, reopened
 
 WINDOW = 10_000
 _BODY = ("query", "from", "size", "sort", "_source", "aggs", "aggregations", "track_total_hits")
@@ -31,6 +33,25 @@ class Index:
     mapping: Mapping
     tie: tuple[str, ...] = ("_seq_no",)
     hidden: tuple[str, ...] = ("_seq_no",)
+    terms: Terms | None = None
+
+    def analysed(self, path: str) -> Index:
+        """The index with its texts analysed once: its rows, numbered, and the term tables are written below `path`."""
+        ctx = Context(self.mapping, self.df, 0)
+        texts = [p for p, f in self.mapping.fields.items() if f.type == "text" and not self.mapping.nested_root(p)]
+        for p in texts:
+            ctx.tokens(p, self.mapping.fields[p])
+        least = self.df.sparkSession.sparkContext.defaultParallelism
+        df = self.df if self.df.rdd.getNumPartitions() >= least else self.df.repartition(least)  # few large files: analysis is the work
+        df = saved(df.withColumn(ROW, F.monotonically_increasing_id()), f"{path}/rows")
+        return replace(self, df=df, hidden=(*self.hidden, ROW), terms=build(df, {p: ctx.token_columns[p][1] for p in texts}, f"{path}/terms"))
+
+    def reopened(self, path: str) -> Index:
+        """The index as `analysed` has written it below `path`."""
+        spark = self.df.sparkSession
+        df = spark.read.schema(T.StructType([*self.df.schema.fields, T.StructField(ROW, T.LongType())])).parquet(f"{path}/rows")
+        texts = any(f.type == "text" and not self.mapping.nested_root(p) for p, f in self.mapping.fields.items())
+        return replace(self, df=df, hidden=(*self.hidden, ROW), terms=reopened(spark, f"{path}/terms") if texts else None)
 
     @staticmethod
     def of_table(name: str, df: DataFrame, key: str | Sequence[str], **declared: dict) -> Index:
@@ -152,7 +173,7 @@ class Found:
     def max_score(self) -> float | None:
         if self.scored is None or self.sorted_by:
             return None
-        return self.scored.agg(F.max("_score")).first()[0]
+        return self.scored.agg(F.round(F.max("_score"), 7)).first()[0]
 
     def table(self, *path: str) -> DataFrame:
         """Buckets of the facet at a path; without one, the top level's metrics and filter counts."""
@@ -210,7 +231,7 @@ def search(indices: Index | Sequence[Index], body: dict | None = None, now: int
     mapped = frozenset(p for i in indices for p in i.mapping.fields)
     for index in indices:
         try:
-            ctx = Context(index.mapping, index.df, now, allow_unmapped, mapped - index.mapping.fields.keys())
+            ctx = Context(index.mapping, index.df, now, allow_unmapped, mapped - index.mapping.fields.keys(), terms=index.terms)
             found: Scored = compiled(ctx, query, need_score)
             nodes = facets.parse(index.mapping, asked)
             keys = [_sort_column(index, s) for s in sorts]
@@ -219,9 +240,9 @@ def search(indices: Index | Sequence[Index], body: dict | None = None, now: int
             error = e
             continue
         match = ctx.prepared().where(found.match)
-        internal = [name for name, _ in ctx.token_columns.values()] + [name for name, _, _ in ctx.markers]
+        internal = ctx.internal()
         matching.append((index, match.drop(*internal)))
-        scored = match.withColumn("_score", F.round(found.score.cast("double"), 6) if need_score else F.lit(None).cast("double"))
+        scored = match.withColumn("_score", found.score.cast("double") if need_score else F.lit(None).cast("double"))
         scored = scored.withColumn("_index", F.lit(index.name)).drop(*internal)
         for k, c in enumerate(keys):
             scored = scored.withColumn(f"__sort{k}", c)
@@ -244,7 +265,8 @@ def search(indices: Index | Sequence[Index], body: dict | None = None, now: int
     kept = projected(source, body.get("_source"))
     kept = [F.col(f"`{f.name}`") for f in source.fields] if kept is None else kept
     sort_values = [F.array(*[F.col(f"__sort{k}").cast("string") for k in range(len(sorts))]).alias("sort")] if sorts else []
-    columns = [F.col("_index"), F.col("_id"), F.col("_score"), *sort_values, *kept]
+    shown = F.round("_score", 7).alias("_score")  # the order is by the whole score
+    columns = [F.col("_index"), F.col("_id"), shown, *sort_values, *kept]
     return Found(page.select(*columns), matching, trees or [], _facet_tables(facet_inputs, trees or []), sorts, failures, hits if need_score else None, hits, order, columns)
 
 
@@ -262,7 +284,7 @@ def _facet_tables(inputs: list[tuple[Index, DataFrame, Context]], nodes: list[fa
 
     note(nodes)
     for _, match, ctx in inputs:
-        own = Context(ctx.mapping, match, ctx.now, ctx.allow_unmapped, ctx.elsewhere)
+        own = ctx.again(match)
         own.token_columns = dict(ctx.token_columns)
         made = {name: compiled(own, spec, scores=False).match for name, spec in flags.values()}
         ready = match
@@ -273,7 +295,7 @@ def _facet_tables(inputs: list[tuple[Index, DataFrame, Context]], nodes: list[fa
         ready = own.prepared()
         for name, c in made.items():
             ready = ready.withColumn(name, F.coalesce(c, F.lit(False)))
-        parts.append(ready.drop(*[c for c in ready.columns if c.startswith(("__tokens", "__related"))]))
+        parts.append(ready.drop(*[c for c in ready.columns if c.startswith(("__tokens", "__related", "__at_", "__length_"))]))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p, allowMissingColumns=True)

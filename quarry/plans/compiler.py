@@ -22,6 +22,7 @@ from quarry.errors import IllegalArgument, MapperParsing, Parsing, QueryShard, U
 from quarry.functions import analysis, dates, patterns
 from quarry.functions.msm import minimum_should_match
 from quarry.operators.mapping import Field, Mapping, column
+from quarry.sources.terms import ROW, Terms
 
 K1, B = 1.2, 0.75
 
@@ -58,6 +59,11 @@ class Context:
     markers: list[tuple[str, str, DataFrame]] = field(default_factory=list)  # name, key column, keys
     element: Column | None = None
     root: str | None = None
+    terms: Terms | None = None  # of the index, if its texts were analysed at refresh
+    postings: dict[tuple[str, str], str] = field(default_factory=dict)  # column of the positions of (field, term)
+    lengths: dict[str, str] = field(default_factory=dict)
+    joined: frozenset[str] = frozenset()  # of those columns the ones that `df` has already
+    frequencies: dict[tuple[str, str], int] = field(default_factory=dict)
 
     # -- fields ----------------------------------------------------------------
 
@@ -93,9 +99,31 @@ class Context:
             self.token_columns[path] = (f"__tokens_{len(self.token_columns)}", expr)
         return F.col(self.token_columns[path][0])
 
+    def indexed(self, path: str) -> bool:
+        return self.terms is not None and self.element is None and path in self.terms.totals
+
+    def positions(self, path: str, term: str) -> Column:
+        """Where a term stands in an analysed text, NULL if nowhere."""
+        name = self.postings.setdefault((path, term), f"__at_{len(self.postings)}")
+        return F.col(name)
+
+    def has(self, path: str, f: Field, term: str) -> Column:
+        """Whether the text has the term."""
+        if self.indexed(path):
+            return self.positions(path, term).isNotNull()
+        return F.array_contains(self.tokens(path, f), term)
+
     def length(self, path: str, f: Field) -> Column:
+        if self.indexed(path):
+            return F.coalesce(F.col(self.lengths.setdefault(path, f"__length_{len(self.lengths)}")), F.lit(1))
         return F.size(F.filter(self.tokens(path, f), lambda t: t.isNotNull()))
 
+    def nonempty(self, path: str, f: Field) -> Column:
+        """Whether the text has any term."""
+        if self.indexed(path):
+            return F.col(self.postings.setdefault((path, ""), f"__at_{len(self.postings)}")).isNotNull()  # no term is empty: a text's first posting
+        return self.length(path, f) > 0
+
     # -- statistics --------------------------------------------------------------
 
     def stat(self, name: str, expr: Callable[[], Column]) -> float:
@@ -108,9 +136,37 @@ class Context:
         df = self.stat(f"df {name}", lambda: F.count_if(match()))
         return math.log(1 + max(0.0, n - df + 0.5) / (df + 0.5))
 
+    def corpus(self, path: str, f: Field) -> tuple[float, float]:
+        """Texts with terms, and their mean length."""
+        if self.indexed(path):
+            n, total = self.terms.totals[path]
+        else:
+            n = self.stat(f"n {path}", lambda: F.count_if(self.length(path, f) > 0))
+            total = self.stat(f"len {path}", lambda: F.sum(self.length(path, f)))
+        return n, total / n if n else 1.0
+
+    def rarity(self, path: str, f: Field, term: str, n: float) -> float:
+        """The term's inverse document frequency."""
+        if self.indexed(path):
+            df = self.frequencies.setdefault((path, term), 0)
+            return math.log(1 + max(0.0, n - df + 0.5) / (df + 0.5))
+        return self.idf(f"{path} {term}", lambda: F.array_contains(self.tokens(path, f), term), n)
+
+    def internal(self) -> list[str]:
+        """Columns that `prepared` adds."""
+        return [name for name, _ in self.token_columns.values()] + [name for name, _, _ in self.markers] + list(self.postings.values()) + list(self.lengths.values())
+
     def prepared(self) -> DataFrame:
-        """The index with the columns that the compiled query uses."""
+        """The index with the columns that the compiled query uses.
+
+        Where a match asks for a term, the left join on the postings becomes an
+        inner one, and only documents with one of the terms are read on.
+        """
         df = self.df
+        new = {k: v for k, v in self.postings.items() if v not in self.joined}
+        if new:
+            found = self.terms.columns(new, {k: v for k, v in self.lengths.items() if v not in self.joined and any(p == k for p, _ in new)})
+            df = df.join(found.withColumnRenamed(ROW, "__found"), F.col(ROW) == F.col("__found"), "left").drop("__found")
         for name, expr in self.token_columns.values():
             df = df.withColumn(name, expr)
         for name, key, keys in self.markers:
@@ -120,6 +176,12 @@ class Context:
     def inner(self, **other) -> Context:
         return Context(self.mapping, self.df, self.now, self.allow_unmapped, self.elsewhere, **other)
 
+    def again(self, df: DataFrame) -> Context:
+        """A context for further queries on rows that this one's query has prepared."""
+        out = Context(self.mapping, df, self.now, self.allow_unmapped, self.elsewhere, terms=self.terms, postings=dict(self.postings), lengths=dict(self.lengths))
+        out.joined = frozenset([*self.postings.values(), *self.lengths.values()])
+        return out
+
 
 def boost_of(spec: dict) -> float:
     b = spec.get("boost")
@@ -179,17 +241,18 @@ def equals(ctx: Context, path: str, f: Field, value) -> Column:
         return ctx.any(path, f, lambda c: c.between(instant(f, low), instant(f, high)))
     if f.type == "text":
         term = str(value).lower() if isinstance(value, bool) else str(value)
-        return F.array_contains(ctx.tokens(path, f), term)
+        return ctx.has(path, f, term)
     wanted = F.lit(f.read(value))
     return ctx.any(path, f, lambda c: c == wanted)
 
 
 def term_score(ctx: Context, path: str, f: Field, term: str) -> Column:
-    tokens = ctx.tokens(path, f)
-    n = ctx.stat(f"n {path}", lambda: F.count_if(ctx.length(path, f) > 0))
-    total = ctx.stat(f"len {path}", lambda: F.sum(ctx.length(path, f)))
-    idf = ctx.idf(f"{path} {term}", lambda: F.array_contains(ctx.tokens(path, f), term), n)
-    return bm25(idf, F.size(F.filter(tokens, lambda t: t == term)), ctx.length(path, f), total / n if n else 1.0)
+    n, average = ctx.corpus(path, f)
+    if ctx.indexed(path):
+        tf = F.when(ctx.has(path, f, term), F.size(ctx.positions(path, term))).otherwise(0)
+    else:
+        tf = F.size(F.filter(ctx.tokens(path, f), lambda t: t == term))
+    return bm25(ctx.rarity(path, f, term, n), tf, ctx.length(path, f), average)
 
 
 def bm25(idf: float, tf: Column, length: Column, average: float) -> Column:
@@ -284,7 +347,7 @@ def exists_query(ctx: Context, spec: dict) -> Scored:
 def _has_value(ctx: Context, path: str) -> Column:
     f = ctx.field(path)
     if f.type == "text" and ctx.element is None:
-        return ctx.length(path, f) > 0
+        return ctx.nonempty(path, f)
     return ctx.any(path, f, lambda c: c.isNotNull())
 
 
@@ -411,6 +474,9 @@ def match_field(ctx: Context, path: str, f: Field, value, op: str, lenient: bool
     terms = [t for t in ctx.mapping.analyzers[f.analyzer].terms(as_text(value)) if t is not None]
     if not terms:
         return nothing()
+    if ctx.indexed(path):
+        match = (all_of if op == "and" else any_of)([ctx.has(path, f, t) for t in dict.fromkeys(terms)])
+        return Scored(match, total([term_score(ctx, path, f, t) for t in terms]))
     tokens = ctx.tokens(path, f)
     if op == "and":
         match = let(tokens, lambda toks: all_of([F.array_contains(toks, t) for t in dict.fromkeys(terms)]))
@@ -446,17 +512,25 @@ def phrase_tf(tokens: Column, terms: list[tuple[int, str]]) -> Column:
     return let(tokens, places)
 
 
+def _shifted(k: int) -> Callable[[Column], Column]:
+    return lambda position: position - k
+
+
 def phrase_leaf(ctx: Context, path: str, f: Field, terms: list[tuple[int, str]]) -> Scored:
+    n, average = ctx.corpus(path, f)
+    idf = sum(ctx.rarity(path, f, t, n) for _, t in terms)
+    if ctx.indexed(path):
+        has = all_of([ctx.has(path, f, t) for t in dict.fromkeys(t for _, t in terms)])
+        begins = [F.transform(ctx.positions(path, t), _shifted(k)) for k, t in terms]  # where the phrase would begin
+        tf = F.when(has, F.size(functools.reduce(F.array_intersect, begins))).otherwise(0)
+        return Scored(has & (tf > 0), bm25(idf, tf, ctx.length(path, f), average))
     tokens = ctx.tokens(path, f)
 
     def found(toks: Column) -> Column:
         has = all_of([F.array_contains(toks, t) for t in dict.fromkeys(t for _, t in terms)])
         return F.when(has, phrase_tf(toks, terms) > 0).otherwise(F.lit(False))
 
-    n = ctx.stat(f"n {path}", lambda: F.count_if(ctx.length(path, f) > 0))
-    length = ctx.stat(f"len {path}", lambda: F.sum(ctx.length(path, f)))
-    idf = sum(ctx.idf(f"{path} {t}", lambda t=t: F.array_contains(ctx.tokens(path, f), t), n) for _, t in terms)
-    return Scored(let(tokens, found), bm25(idf, phrase_tf(tokens, terms), ctx.length(path, f), length / n if n else 1.0))
+    return Scored(let(tokens, found), bm25(idf, phrase_tf(tokens, terms), ctx.length(path, f), average))
 
 
 def phrase_field(ctx: Context, path: str, f: Field, value, lenient: bool = False) -> Scored:
@@ -484,6 +558,8 @@ def expansions_of(body: dict) -> int:
 
 def expanded(ctx: Context, path: str, f: Field, prefix: str, most: int) -> list[str]:
     """The first terms of the index with this prefix: at most `most` rows reach the driver."""
+    if ctx.indexed(path):
+        return ctx.terms.starting(path, prefix, most)
     own = ctx.inner()
     tokens = own.tokens(path, f)
     terms = own.prepared().select(F.explode(tokens).alias("t")).where(F.col("t").startswith(prefix))
@@ -506,7 +582,7 @@ def phrase_prefix_field(ctx: Context, path: str, f: Field, value, most: int) ->
 
 
 def match_terms(ctx: Context, path: str, f: Field, term: str) -> Scored:
-    return Scored(F.array_contains(ctx.tokens(path, f), term), term_score(ctx, path, f, term))
+    return Scored(ctx.has(path, f, term), term_score(ctx, path, f, term))
 
 
 def either(parts: list[Scored]) -> Scored:
@@ -781,7 +857,7 @@ def build(ctx: Context, query: dict) -> Scored:
 
 
 def compiled(ctx: Context, query: dict, scores: bool = True) -> Scored:
-    """The query for good: statistics are taken over the whole index first, if a score will be read."""
+    """The query for good: statistics are looked up, or taken over the whole index, first, if a score will be read."""
     build(ctx, query)
     wanted = {k: v for k, v in ctx.needed.items() if not k.startswith("__expanded")}
     ctx.markers.clear()
@@ -791,4 +867,10 @@ def compiled(ctx: Context, query: dict, scores: bool = True) -> Scored:
         ctx.stats = {n: row[k] for k, n in enumerate(names)}
     else:
         ctx.stats = dict.fromkeys(wanted, 1.0)
-    return build(ctx, query)
+    if scores and ctx.frequencies:
+        ctx.frequencies |= ctx.terms.frequencies(list(ctx.frequencies))
+    ctx.postings, ctx.lengths = {k: v for k, v in ctx.postings.items() if v in ctx.joined}, {k: v for k, v in ctx.lengths.items() if v in ctx.joined}
+    out = build(ctx, query)
+    if not scores:
+        ctx.lengths = {k: v for k, v in ctx.lengths.items() if v in ctx.joined}
+    return out

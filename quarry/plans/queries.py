@@ -17,6 +17,7 @@ from quarry.operators.mapping import Join
 from quarry.operators.search import Index, search
 from quarry.session import ship
 from quarry.sources.changes import latest
+from quarry.sources.tables import scratch
 from quarry.streaming.upserts import tumbling
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,17 @@ def index(spark: SparkSession, sf_dir: str, name: str, df: DataFrame | None = No
     return Index.of_table(name, read(spark, sf_dir, name) if df is None else df, KEYS[name], **(declared or TEXT.get(name, {})))
 
 
+_analysed: dict[tuple[str, str, str], Index] = {}
+
+
+def analysed(spark: SparkSession, sf_dir: str, name: str) -> Index:
+    """A table with its term tables, which are written by the first query on it and read by all others of the session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _analysed:
+        _analysed[key] = index(spark, sf_dir, name).analysed(scratch(spark, f"index-{name}"))
+    return _analysed[key]
+
+
 def register(name: str, run: Query, sql: str | None = None) -> None:
     QUERIES[name] = run
     if sql:
@@ -50,11 +62,10 @@ def hits(name: str, table: str, query: dict, keep: list[str], sql: str, *, sort=
     """A search on one table: its key and some columns; all that match, or a page."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        i = index(spark, sf_dir, table)
+        i = (analysed if table in TEXT else index)(spark, sf_dir, table)
         if page is None:
             found = search(i, {"query": query, "sort": "_doc" if not score else None}, NOW)
-            columns = [*keep, "_score"] if score else keep
-            return found.everything.select(*columns) if score else found.matching[0][1].select(*keep)
+            return found.everything.select(*keep, F.round("_score", 7).alias("_score")) if score else found.matching[0][1].select(*keep)
         body = {"query": query, "_source": keep, "from": page[0], "size": page[1]} | ({"sort": sort} if sort else {})
         return search(i, body, NOW).hits.select(*keep, *(["_score"] if score else []))
 
@@ -128,7 +139,7 @@ def tokens_sql(column: str, pattern: str = WORD) -> str:
     return f"list_transform({kept}, lambda t: lower(t))"
 
 
-def bm25_sql(terms: list[str], table: str = "documents", key: str = "doc_id", text: str = "text", op: str = "OR") -> str:
+def bm25_sql(terms: list[str], table: str = "documents", key: str = "doc_id", text: str = "text", op: str = "OR", page: str = "") -> str:
     """All that match, with the published formula."""
     each = {t: f"list_count(list_filter(toks, lambda x: x = '{t}'))" for t in terms}
     stats = ", ".join(f"sum(CASE WHEN list_contains(toks, '{t}') THEN 1 ELSE 0 END) AS df{k}" for k, t in enumerate(terms))
@@ -136,11 +147,11 @@ def bm25_sql(terms: list[str], table: str = "documents", key: str = "doc_id", te
     match = f" {op} ".join(f"list_contains(toks, '{t}')" for t in terms)
     return (
         f"WITH d AS (SELECT {key}, {tokens_sql(text)} AS toks FROM {table}), s AS (SELECT count(*) FILTER (len(toks) > 0) AS n, sum(len(toks)) * 1.0 / count(*) FILTER (len(toks) > 0) AS avgdl, {stats} FROM d) "
-        f"SELECT {key}, round({parts}, 6) AS _score FROM d, s WHERE {match}"
+        f"SELECT {key}, round({parts}, 7) AS _score FROM d, s WHERE {match}{page.format(raw=parts)}"
     )
 
 
-hits("match_or_bm25", "documents", {"match": {"text": "That the nicht"}}, ["doc_id"], bm25_sql(["that", "the", "nicht"]) + " ORDER BY _score DESC, doc_id LIMIT 25", page=(0, 25), score=True)
+hits("match_or_bm25", "documents", {"match": {"text": "That the nicht"}}, ["doc_id"], bm25_sql(["that", "the", "nicht"], page=" ORDER BY {raw} DESC, doc_id LIMIT 25"), page=(0, 25), score=True)
 hits("match_and_bm25", "documents", {"match": {"text": {"query": "of with this", "operator": "AND"}}}, ["doc_id"], bm25_sql(["of", "with", "this"], op="AND"), score=True)
 hits("match_conversations", "conversations", {"match": {"text": "and"}}, ["conv_id", "turn"], f"SELECT conv_id, turn FROM conversations WHERE list_contains({tokens_sql('text')}, 'and')")
 _PAIRS = f"WITH d AS (SELECT doc_id, {tokens_sql('text')} AS toks FROM documents), p AS (SELECT doc_id, t, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (SELECT doc_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM d))"
@@ -149,7 +160,7 @@ hits(
     "phrase_scored", "documents", {"match_phrase": {"text": "of the"}}, ["doc_id"],
     f"{_PAIRS}, f AS (SELECT doc_id, count(*) AS tf FROM p WHERE t = 'of' AND nxt = 'the' GROUP BY 1), "
     "s AS (SELECT count(*) FILTER (len(toks) > 0) AS n, sum(len(toks)) * 1.0 / count(*) FILTER (len(toks) > 0) AS avgdl, sum(list_contains(toks, 'of')::INT) AS d1, sum(list_contains(toks, 'the')::INT) AS d2 FROM d) "
-    "SELECT doc_id, round((ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks) / avgdl)), 6) AS _score FROM d JOIN f USING (doc_id), s",
+    "SELECT doc_id, round((ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks) / avgdl)), 7) AS _score FROM d JOIN f USING (doc_id), s",
     score=True,
 )
 hits(
@@ -167,7 +178,7 @@ def _two_fields(kind: str, combine: str) -> None:
         f"WITH d AS (SELECT p_partkey, {tokens_sql('p_name')} AS x, {tokens_sql('p_type')} AS y FROM part), "
         "s AS (SELECT count(*) FILTER (len(x) > 0) AS nx, sum(len(x)) * 1.0 / count(*) FILTER (len(x) > 0) AS ax, count(*) FILTER (len(y) > 0) AS ny, sum(len(y)) * 1.0 / count(*) FILTER (len(y) > 0) AS ay, "
         "sum(list_contains(x, 'small')::INT) AS d0, sum(list_contains(x, 'red')::INT) AS d1, sum(list_contains(y, 'small')::INT) AS d2, sum(list_contains(y, 'red')::INT) AS d3 FROM d) "
-        f"SELECT p_partkey, round({combine.format(a='(' + leaf('x', 'small', 0) + ' + ' + leaf('x', 'red', 1) + ') * 2', b='(' + leaf('y', 'small', 2) + ' + ' + leaf('y', 'red', 3) + ')')}, 6) AS _score FROM d, s "
+        f"SELECT p_partkey, round({combine.format(a='(' + leaf('x', 'small', 0) + ' + ' + leaf('x', 'red', 1) + ') * 2', b='(' + leaf('y', 'small', 2) + ' + ' + leaf('y', 'red', 3) + ')')}, 7) AS _score FROM d, s "
         "WHERE list_has_any(x, ['small', 'red']) OR list_has_any(y, ['small', 'red'])"
     )
     body = {"query": "small red", "fields": ["p_name^2", "p_type"], "type": kind}
@@ -181,13 +192,13 @@ _two_fields("most_fields", "{a} + {b}")
 hits(
     "dis_max_tie", "orders", {"dis_max": {"queries": [{"constant_score": {"filter": {"term": {"o_orderstatus": "F"}}, "boost": 2}}, {"constant_score": {"filter": {"range": {"o_totalprice": {"gte": 100000}}}, "boost": 3}}], "tie_breaker": 0.5}},
     ["o_orderkey"],
-    "SELECT o_orderkey, CAST(round(greatest(a, b) + 0.5 * (a + b - greatest(a, b)), 6) AS DOUBLE) AS _score FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 2.0 ELSE 0 END AS a, CASE WHEN o_totalprice >= 100000 THEN 3.0 ELSE 0 END AS b FROM orders) WHERE a + b > 0",
+    "SELECT o_orderkey, CAST(round(greatest(a, b) + 0.5 * (a + b - greatest(a, b)), 7) AS DOUBLE) AS _score FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 2.0 ELSE 0 END AS a, CASE WHEN o_totalprice >= 100000 THEN 3.0 ELSE 0 END AS b FROM orders) WHERE a + b > 0",
     score=True,
 )
 hits(
     "term_scored", "orders", {"bool": {"must": {"term": {"o_orderstatus": "P"}}, "should": {"term": {"o_orderpriority": {"value": "1-URGENT", "boost": 2}}}}}, ["o_orderkey"],
     "WITH s AS (SELECT count(*) AS n, sum((o_orderstatus = 'P')::INT) AS a, sum((o_orderpriority = '1-URGENT')::INT) AS b FROM orders) "
-    "SELECT o_orderkey, round(ln(1 + (n - a + 0.5) / (a + 0.5)) + CASE WHEN o_orderpriority = '1-URGENT' THEN 2 * ln(1 + (n - b + 0.5) / (b + 0.5)) ELSE 0 END, 6) AS _score FROM orders, s WHERE o_orderstatus = 'P'",
+    "SELECT o_orderkey, round(ln(1 + (n - a + 0.5) / (a + 0.5)) + CASE WHEN o_orderpriority = '1-URGENT' THEN 2 * ln(1 + (n - b + 0.5) / (b + 0.5)) ELSE 0 END, 7) AS _score FROM orders, s WHERE o_orderstatus = 'P'",
     score=True,
 )
 

@@ -245,36 +245,41 @@ def read_bulk(spark: SparkSession, path: str, default_index: str | None = None)
     return files.join(ranks, "path").select("rank", "value").mapInPandas(run, ACTIONS)
 
 
+#: Actions that one group folds; a group has whole `_id`s.
+IDS_AT_ONCE = 20_000
 _OUTCOME = "_id string, _seq_no bigint, _version bigint, _deleted boolean, _source string, position bigint, op string, result string, error string"
 
 
 def fold(live: DataFrame, actions: DataFrame, mapping: Mapping, base: int) -> DataFrame:
     """Every action's outcome, each `_id`'s in order: the new log rows, what came of it, and the error if it failed.
 
-    Actions on different `_id`s don't meet, so they run side by side.
+    Actions on different `_id`s don't meet, so groups of `_id`s run side by side.
     """
     known = live.selectExpr("_id AS id", "_seq_no", "_version", "_deleted", "_source")
+    groups = max(1, actions.count() // IDS_AT_ONCE)
+    columns = [c.split()[0] for c in _OUTCOME.split(", ")]
 
     def run(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        state = State()
-        if len(old):
-            r = old.iloc[0]
-            state = State(int(r["_version"]), int(r["_seq_no"]), None if r["_deleted"] else json.loads(r["_source"]))
-        out, own = [], mapping
-        for a in new.sort_values("position").itertuples():
-            seq, error, result = base + int(a.position), None, None
+        states = {
+            i: State(int(v), int(s), None if d else json.loads(text)) for i, s, v, d, text in zip(old["id"], old["_seq_no"], old["_version"], old["_deleted"], old["_source"])
+        }
+        own: dict[str, Mapping] = {}
+        out = []
+        for doc_id, position, op, given in new.sort_values("position")[["id", "position", "op", "body"]].itertuples(index=False, name=None):
+            seq, error, result = base + int(position), None, None
+            before = state = states.get(doc_id) or State()
             try:
-                body = json.loads(a.body) if a.body is not None else None
-                before = state
-                state, result, own = apply(state, a.op, body, own, seq)
+                body = json.loads(given) if given is not None else None
+                state, result, own[doc_id] = apply(state, op, body, own.get(doc_id, mapping), seq)
                 wrote = state is not before
             except SearchError as e:
                 error, wrote = f"{e.kind}: {e}", False
-            out.append((key[0], seq if wrote else None, state.version if wrote else None, not state.live if wrote else None, json.dumps(state.source) if wrote and state.live else None, int(a.position), a.op, result, error))
-        columns = [c.split()[0] for c in _OUTCOME.split(", ")]
+            states[doc_id] = state
+            out.append((doc_id, seq if wrote else None, state.version if wrote else None, not state.live if wrote else None, json.dumps(state.source) if wrote and state.live else None, int(position), op, result, error))
         return pd.DataFrame(out, columns=columns)
 
-    return known.groupBy("id").cogroup(actions.groupBy("id")).applyInPandas(run, _OUTCOME)
+    bucket = F.pmod(F.xxhash64("id"), F.lit(groups)).alias("bucket")
+    return known.select("*", bucket).groupBy("bucket").cogroup(actions.select("*", bucket).groupBy("bucket")).applyInPandas(run, _OUTCOME)
 
 
 def new_fields(actions: DataFrame, mapping: Mapping) -> dict[str, Field]:

@@ -45,7 +45,7 @@ def test_versions_and_conflicts(catalog):
 def test_dynamic_fields_and_restart(catalog, spark):
     catalog.write("i", "index", "1", {"t": "2026-03-15", "n": 5, "o": {"x": "text here"}, "l": [1, 2], "s": [{"r": "a"}, {"r": "b"}]})
     catalog.refresh()
-    again = Catalog(spark, str(catalog.root))
+    again = Catalog(spark, catalog.files.root)
     found = again.search("i", {"query": {"bool": {"must": [{"term": {"l": 2}}, {"match": {"o.x": "here"}}, {"term": {"s.r.keyword": "b"}}, {"range": {"t": {"gte": "2026-03"}}}]}}})
     assert found.total() == 1 and again.get("i", "1")["_source"]["n"] == 5
     again.put_mapping("i", {"properties": {"new": {"type": "keyword"}}})
@@ -122,7 +122,7 @@ def test_stream_of_writes(catalog, spark, tmp_path):
     for batch in ([("1", 0, 1, False, '{"a": 1}'), ("1", 1, 2, False, '{"a": 2}')], [("1", 2, 3, True, None), ("2", 3, 1, False, '{"a": 7}')]):
         spark.createDataFrame(batch, schema).write.mode("append").json(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
-        refresh(stream, str(catalog.root / "s" / "log"), str(tmp_path / "check"), once=True).awaitTermination()
+        refresh(stream, catalog.files.at("s/log"), str(tmp_path / "check"), once=True).awaitTermination()
     catalog.refresh("s")
     assert [r["_id"] for r in catalog.search("s").hits.collect()] == ["2"]
 

@@ -1,62 +1,13 @@
-"""What the operators share: scratch tables, sizes, free column names."""
+"""What the operators share: their tables, sizes, free column names."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.session import ship
+from quarry.sources.tables import drop, saved, scratch, shared_dir, written
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach: the session's spark.checkpoint.dir.
-
-    Only where the session names none (a single machine, as in tests) one is made.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if path:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(path)
-        return path.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def _drop_scratch() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended: the folder's owner clears it
-            return
-
-
-atexit.register(_drop_scratch)
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: later jobs read it, losing executors loses nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    writer = df.write.option("compression", "zstd")
-    clean, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
-    try:  # the table is what stays: shuffle files go when it is written
-        before = spark.conf.get(clean, "false")
-        spark.conf.set(clean, "true")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    finally:
-        spark.conf.set(clean, before)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop", "fresh", "saved", "scratch", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +24,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
-
-
-def text_bytes(df: DataFrame, text_col: str = "text") -> int:
-    """Bytes of text in all rows."""
-    return df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

@@ -9,14 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.llm.textvec import SPACE, batches, classes, codepoints, expand, span_hash
 
 Q = 16
 #: Edits allowed per character of a passage.
 RATE = 0.05
-#: Passages with fewer characters, after normalising, are too short to tell from ordinary text.
-LEAST = 24
+#: Passages with fewer characters, after normalising, share no gram with anything, and aren't looked for.
+LEAST = Q
 #: Characters of passages that are looked for in one scan; a larger benchmark takes several scans.
 AT_ONCE = 2_000_000
 _OUTSIDE = np.uint32(0xFFFFFFFF)
@@ -46,7 +47,7 @@ def budget(length: int) -> tuple[int, int]:
 class Passages:
     """The benchmark's passages and their grams, sorted by hash."""
 
-    ids: list[int]
+    ids: pa.Array
     texts: list[np.ndarray]
     edits: np.ndarray
     least: np.ndarray
@@ -61,15 +62,15 @@ class Passages:
 _SIEVE_BITS = 22
 
 
-def passages(ids: list[int], texts: list[str]) -> Passages:
+def passages(ids: pa.Array, texts: list[str], least: int = LEAST) -> Passages:
     cps, ends, _ = normalised(pa.array(texts, pa.string()))
     kept, own = [], []
     for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
         t = cps[a:b]
         t = t[:-1] if len(t) and t[-1] == 32 else t
-        if len(t) >= LEAST:
+        if len(t) >= max(least, Q):
             kept.append(t)
-            own.append(ids[k])
+            own.append(k)
     limits = np.array([budget(len(t)) for t in kept], np.int64).reshape(-1, 2)
     hashes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k, t in enumerate(kept):
@@ -82,7 +83,7 @@ def passages(ids: list[int], texts: list[str]) -> Passages:
     keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
     sieve = np.zeros(1 << _SIEVE_BITS, bool)
     sieve[(keys >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)] = True
-    return Passages(own, kept, limits[:, 0], limits[:, 1], keys, first, count, item[order], place[order], sieve)
+    return Passages(ids.take(pa.array(own, pa.int64())), kept, limits[:, 0], limits[:, 1], keys, first, count, item[order], place[order], sieve)
 
 
 def _align(pattern: np.ndarray, text: np.ndarray, width: int) -> tuple[int, int]:
@@ -144,22 +145,23 @@ def find(p: Passages, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     return [(d, j, int(places[begun]), int(places[stop - 1]) + 1, cost) for (d, j), (cost, stop, begun) in sorted(best.items())]
 
 
-def _parts(benchmark: DataFrame, at_once: int) -> Iterator[Passages]:
+def _parts(benchmark: DataFrame, at_once: int, least: int) -> Iterator[Passages]:
     """The benchmark in parts of bounded size, so that one of any size can be looked for."""
+    kind = to_arrow_type(benchmark.select("item_id").schema[0].dataType)
     ids, texts, size = [], [], 0
     rows = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct().orderBy("item_id", F.xxhash64("text"))
     for r in rows.toLocalIterator():
         if size + len(r[1]) > at_once and texts:
-            yield passages(ids, texts)
+            yield passages(pa.array(ids, kind), texts, least)
             ids, texts, size = [], [], 0
         ids.append(r[0])
         texts.append(r[1])
         size += len(r[1])
     if texts:
-        yield passages(ids, texts)
+        yield passages(pa.array(ids, kind), texts, least)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, at_once: int = AT_ONCE, least: int = LEAST) -> DataFrame:
     """One row per document row and passage found in it: doc_id, item_id, start, end, edits.
 
     Texts are compared by their lower-cased letters and digits.  A passage of m
@@ -171,14 +173,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, at_once: int = AT_ONCE) -> Da
     start and end count code points of the given text.
 
     Defined cases: null and empty texts and passages match nothing, nor do
-    passages under 24 characters; equal passages under several item_ids give a
+    passages under `least` characters, by default those too short for a gram; a
+    passage with a null item_id is found like others and reported with a null;
+    doc_id and item_id may have any type with an order; equal passages under several item_ids give a
     row each; repeated rows give repeated rows; empty tables give an empty
     result; other columns are not looked at.
     """
-    kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
+    kinds = [df.select(c).schema[0].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id"))]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start int, end int, edits int"
     out = None
-    for p in _parts(benchmark, at_once):
+    for p in _parts(benchmark, at_once, least):
         shared = docs.sparkSession.sparkContext.broadcast(p)
 
         def run(given: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -188,7 +192,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, at_once: int = AT_ONCE) -> Da
                     if found:
                         d, item, start, end, edits = zip(*found)
                         yield pa.RecordBatch.from_arrays(
-                            [b.column("doc_id").slice(i, j - i).take(pa.array(d)), pa.array([shared.value.ids[x] for x in item]), *(pa.array(x, pa.int32()) for x in (start, end, edits))],
+                            [b.column("doc_id").slice(i, j - i).take(pa.array(d)), shared.value.ids.take(pa.array(item)), *(pa.array(x, pa.int32()) for x in (start, end, edits))],
                             names=["doc_id", "item_id", "start", "end", "edits"],
                         )
 
@@ -197,10 +201,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, at_once: int = AT_ONCE) -> Da
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, at_once: int = AT_ONCE, least: int = LEAST) -> DataFrame:
     """The rows of `docs` in which no passage of the benchmark is found, with all columns; cases as in `matches`."""
     at = docs.columns.index("text")
-    for p in _parts(benchmark, at_once):
+    for p in _parts(benchmark, at_once, least):
         shared = docs.sparkSession.sparkContext.broadcast(p)
 
         def run(given: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import fresh, written
 from quarry.llm.textvec import mix
 
-#: Digests in one shard of the hash; the number of shards follows the history.
+#: Digests in one shard of the hash; the number of shards follows the history or, if they are more, the new digests.
 SHARD = 200_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -67,8 +67,8 @@ def _words(digests: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(joined, "<u8").reshape(-1, 4)
 
 
-_INDEX = "shard int, sizes array<bigint>, bits binary, digests binary, winners array<bigint>"
-_FOUND = "digest binary, winner bigint, member boolean"
+_INDEX = "shard int, sizes array<bigint>, bits binary, digests binary, winners array<{kind}>"
+_FOUND = "digest binary, winner {kind}, member boolean"
 
 
 def _build_shard(t: pa.Table) -> pa.Table:
@@ -83,7 +83,7 @@ def _build_shard(t: pa.Table) -> pa.Table:
             "sizes": pa.array([sizes], pa.list_(pa.int64())),
             "bits": pa.array([bits.tobytes()], pa.binary()),
             "digests": pa.array([keys[order].tobytes()], pa.binary()),
-            "winners": pa.array([winners.to_pylist()], pa.list_(pa.int64())),
+            "winners": pa.ListArray.from_arrays(pa.array([0, len(winners)], pa.int32()), winners),
         }
     )
 
@@ -92,7 +92,7 @@ def _look_up(new: pa.Table, index: pa.Table) -> pa.Table:
     """Winner of each new digest that the shard holds, all 32 bytes compared."""
     n = len(new)
     if not n or not len(index):
-        return pa.table({"digest": new["digest"], "winner": pa.nulls(n, pa.int64()), "member": pa.array(np.zeros(n, bool))})
+        return pa.table({"digest": new["digest"], "winner": pa.nulls(n, index.schema.field("winners").type.value_type), "member": pa.array(np.zeros(n, bool))})
     keys = _words(new["digest"])
     held = np.frombuffer(index["digests"][0].as_py(), "<u8").reshape(-1, 4)
     at = slot(keys, np.array(index["sizes"][0].as_py(), np.int64), np.frombuffer(index["bits"][0].as_py(), np.uint8))
@@ -104,7 +104,11 @@ def _look_up(new: pa.Table, index: pa.Table) -> pa.Table:
 def history_index(digests: DataFrame, shards: int) -> DataFrame:
     """The index of (digest, winner): per shard the hash, and slots of full digests and winners."""
     sharded = digests.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
-    return sharded.groupBy("shard").applyInArrow(_build_shard, _INDEX)
+    return sharded.groupBy("shard").applyInArrow(_build_shard, _INDEX.format(kind=_kind(digests, "winner")))
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.select(column).schema[0].dataType.simpleString()
 
 
 def _resolved(docs: DataFrame, history: DataFrame, shard: int) -> DataFrame:
@@ -117,10 +121,11 @@ def _resolved(docs: DataFrame, history: DataFrame, shard: int) -> DataFrame:
     firsts = written(firsts, "firsts")
     old = firsts.where("old").select("digest", "winner")
     new = firsts.where("NOT old").select("digest", F.col("winner").alias("own"))
-    shards = max(1, -(-old.count() // shard))
+    most = max([r["count"] for r in firsts.groupBy("old").count().collect()], default=1)  # of history and arrivals the larger side
+    shards = -(-most // shard)
     index = written(history_index(old, shards), "history")
     sharded = new.select("digest", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"))
-    found = sharded.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_look_up, _FOUND)
+    found = sharded.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_look_up, _FOUND.format(kind=_kind(docs, "doc_id")))
     new = new.join(found, "digest").select("digest", F.lit(False).alias("old"), F.when(F.col("member"), F.col("winner")).otherwise(F.col("own")).alias("keeper_id"), "member")
     both = new.unionByName(old.select("digest", F.lit(True).alias("old"), F.col("winner").alias("keeper_id"), F.lit(True).alias("member")))
     out = d.join(both, ["digest", "old"], "left")
@@ -142,8 +147,8 @@ def keepers(docs: DataFrame, history: DataFrame, shard: int = SHARD) -> DataFram
     Defined cases: a null text repeats nothing, its keeper is its own doc_id;
     the empty text is a text like others; a null doc_id never wins against
     another; rows repeated whole have one keeper, themselves included; with an
-    empty history all are grouped; an empty table gives an empty result.  Other
-    columns are not looked at.
+    empty history all are grouped; an empty table gives an empty result; doc_id
+    may have any type with an order.  Other columns are not looked at.
     """
     return _resolved(docs, history, shard).drop("digest")
 

@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.llm.common import written
+from quarry.llm.common import drop, saved, scratch, written
 from quarry.llm.textvec import batches, mix, words
+from quarry.llm.textvec import expand as expand_runs
 
 #: Order of the registered model.
 ORDER = 3
@@ -43,15 +44,18 @@ K = 5
 #: Share that larger counts give away, so that every history can back off.
 RESERVE = 1e-4
 #: Characters of a block, occurrences of grams in a bucket, and the most rows that meet in one task.
-BLOCK_CHARS, BUCKET_TOKENS, FAN = 8_000_000, 2_000_000, 4096
+BLOCK_CHARS, BUCKET_TOKENS, FAN = 6_000_000, 1_000_000, 4096
+#: Passes over the buckets of an order, one after the other: what is on its way to the buckets takes that part of the disk.
+PASSES = 4
 END = np.uint64(0xD1B54A32D192ED03)
 
-_TEXTS = "block bigint, counted boolean, ids array<{kind}>, lengths array<bigint>, words binary, n_words bigint, numbers binary, n_tokens bigint"
+_TEXTS = "block bigint, counted boolean, ids array<{kind}>, lengths array<bigint>, words binary, ranks binary, n_words bigint, numbers binary, n_tokens bigint"
 #: Of grams: how many, how many histories, and the packed columns.
 _PACKED = "size bigint, heads bigint, buckets binary, h binary, runs binary, w binary, counts binary, suffix binary, below binary"
 _MESSAGES = "g bigint, r bigint, sg bigint, sr bigint, " + _PACKED
+_HISTORIES = "g bigint, r bigint, size bigint, h binary, below binary"
 _COUNTED = f"kind string, g bigint, r bigint, part bigint, starts binary, word_ids binary, tally array<bigint>, {_PACKED}"
-_ANSWER = ("g", "r", "part", "size", "counts", "starts", "word_ids")
+_ANSWER = ("g", "r", "part", "size", "counts", "starts", "word_ids", "buckets")
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -61,14 +65,14 @@ def squeeze(a: np.ndarray) -> bytes:
     top = int(a.max())
     width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
     planes = np.ascontiguousarray(a.astype(f"<u{width}").view(np.uint8).reshape(len(a), width).T)
-    return bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def expand(data: bytes, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     width = data[0]
-    raw = pa.decompress(data[1:], n * width, codec="zstd", asbytes=True)
+    raw = pa.decompress(memoryview(data)[1:], n * width, codec="zstd")
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(f"<u{width}").reshape(n).astype(np.uint64)
 
 
@@ -83,7 +87,7 @@ def expand_steps(data: bytes, n: int) -> np.ndarray:
 
 @dataclass
 class Grams:
-    """Distinct grams by bucket, history and word: local count, count of the suffix, count of the history's suffix.
+    """Distinct grams by bucket, history and word: local count, count of the suffix; in the gram table, count of the history's suffix.
 
     A history is its position in the table of one order less; of single words
     `h` is the hash, and `w` 0.
@@ -124,19 +128,26 @@ class Grams:
     def merged(rows: list[dict]) -> tuple[Grams, np.ndarray]:
         """The rows' grams as one, counts added up; and for each given gram the place it went to."""
         parts = [Grams.unpacked(r) for r in rows]
-        whole = Grams(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("bucket", "h", "w", "count", "suffix", "below")))
-        del parts
-        order = np.lexsort((whole.w, whole.h, whole.bucket))
-        s = whole.cut(order)
+
+        def taken(name: str) -> np.ndarray:
+            out = np.concatenate([getattr(p, name) for p in parts])
+            for p in parts:
+                setattr(p, name, None)
+            return out
+
+        bucket, h, w = taken("bucket"), taken("h"), taken("w")
+        one_bucket = not len(bucket) or bucket[0] == bucket[-1] and bucket.min() == bucket.max()
+        order = np.lexsort((w, h) if one_bucket else (w, h, bucket))
+        h, w, bucket = h[order], w[order], bucket[order]
         new = np.ones(len(order), bool)
-        new[1:] = (s.h[1:] != s.h[:-1]) | (s.w[1:] != s.w[:-1]) | (s.bucket[1:] != s.bucket[:-1])
+        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (bucket[1:] != bucket[:-1])
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
         at = np.flatnonzero(new)
-        one = s.cut(at)
-        one.count = np.add.reduceat(s.count, at)
-        one.suffix, one.below = np.maximum.reduceat(s.suffix, at), np.maximum.reduceat(s.below, at)
-        return one, place
+        bucket, h, w = bucket[at], h[at], w[at]
+        count = np.add.reduceat(taken("count")[order], at)
+        suffix = np.maximum.reduceat(taken("suffix")[order], at)
+        return Grams(bucket, h, w, count, suffix, np.zeros(len(at), np.int64)), place
 
 
 def discounts(tally: np.ndarray) -> np.ndarray:
@@ -185,7 +196,8 @@ class Numbers:
         return (0 if level == self.levels else group), bucket // self.fan ** (self.levels - level)
 
 
-def texts_table(docs: DataFrame, counted: bool = True) -> DataFrame:
+def texts_table(docs: DataFrame, counted: bool = True) -> tuple[DataFrame, str]:
+    """The blocks of `docs`, and where their table is."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +211,13 @@ def texts_table(docs: DataFrame, counted: bool = True) -> DataFrame:
             order = np.argsort(-counts, kind="stable")  # frequent words get small numbers
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
-            first = squeeze_steps(keys)
             row = {
                 "block": pa.array([((part << 24) + number) * 2 + (not counted)]),
                 "counted": pa.array([counted]),
                 "ids": pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids)),
                 "lengths": pa.array([np.concatenate(lengths)], pa.list_(pa.int64())),
-                "words": pa.array([len(first).to_bytes(8, "little") + first + squeeze(order)], pa.binary()),
+                "words": pa.array([squeeze_steps(keys)], pa.binary()),
+                "ranks": pa.array([squeeze(order)], pa.binary()),
                 "n_words": pa.array([len(keys)]),
                 "numbers": pa.array([squeeze(place[inverse])], pa.binary()),
                 "n_tokens": pa.array([len(h)]),
@@ -231,7 +243,8 @@ def texts_table(docs: DataFrame, counted: bool = True) -> DataFrame:
         if ids:
             yield flush()
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, _TEXTS.format(kind=kind)), "texts")
+    path = scratch(docs.sparkSession, "texts")
+    return saved(docs.select("doc_id", "text").mapInArrow(run, _TEXTS.format(kind=kind)), path), path
 
 
 @dataclass
@@ -250,18 +263,22 @@ def _opened(row: dict, answers: list[dict], num: Numbers, order: int) -> Opened:
     """The block as far as `order`; answers must be there for the orders before."""
     lengths = np.array(row["lengths"], np.int64)
     t, n_words = row["n_tokens"], row["n_words"]
-    cut = 8 + int.from_bytes(row["words"][:8], "little")
-    keys = expand_steps(row["words"][8:cut], n_words)
-    by_rank = expand(row["words"][cut:], n_words).astype(np.int64)
+    by_rank = expand(row["ranks"], n_words).astype(np.int64)
     token = by_rank[expand(row["numbers"], t).astype(np.int64)]
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    since = np.arange(t) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    since = (np.arange(t) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
     o = Opened(lengths, owner, [], [], [], [])
     word_ids = np.zeros(n_words, np.uint64)
     for m in range(1, order + 1):
         if m == 1:
             zero = np.zeros(n_words, np.int64)
-            bucket = (keys >> np.uint64(64 - num.word_bits)).astype(np.int64) if num.word_bits else zero
+            first = sorted((r for r in answers if r["n"] == 1), key=lambda r: r["part"])
+            if first:  # the words themselves aren't needed any more
+                keys = zero.astype(np.uint64)
+                bucket = np.concatenate([expand(r["buckets"], r["size"]) for r in first]).astype(np.int64)
+            else:
+                keys = expand_steps(row["words"], n_words)
+                bucket = (keys >> np.uint64(64 - num.word_bits)).astype(np.int64) if num.word_bits else zero
             sent = np.arange(n_words)
             grams = Grams(bucket, keys, zero.astype(np.uint64), np.bincount(token, minlength=n_words), zero, zero)
             gram = token
@@ -272,17 +289,17 @@ def _opened(row: dict, answers: list[dict], num: Numbers, order: int) -> Opened:
             alive = (hist >= 0) & (o.counts[0][token[real]] > 0)
             alive &= shorter[hist] > 0
             real, hist = real[alive], hist[alive]
-            _, first, inverse, count = np.unique(hist * n_words + token[real], return_index=True, return_inverse=True, return_counts=True)
-            gram = np.full(t, -1, np.int64)
+            _, first, inverse, count = np.unique(hist.astype(np.int64) * n_words + token[real], return_index=True, return_inverse=True, return_counts=True)
+            gram = np.full(t, -1, np.int32)
             gram[real] = inverse
             hist, first = hist[first], real[first]
+            del real, alive, inverse
             h, w, c = o.starts[-1][hist], word_ids[token[first]], shorter[hist]
             inside = (mix(w + np.uint64(1)) >> np.uint64(11)).astype(float) * 2.0**-53  # spreads a history's followers over its stretch
             bucket = (h.astype(np.int64) + np.minimum((inside * c).astype(np.int64), np.maximum(c - 1, 0))) // num.stretch
             sent = np.lexsort((w, h, bucket))
             suffix = np.where(before[first] >= 0, shorter[before[first]], 0)
-            below = np.full(len(first), num.tokens) if m == 2 else o.counts[-2][o.gram[-2][first - 1]]
-            grams = Grams(bucket, h, w, count, suffix, below).cut(sent)
+            grams = Grams(bucket, h, w, count, suffix, np.zeros(len(first), np.int64)).cut(sent)
         if not row["counted"]:
             grams.count = np.zeros_like(grams.count)
         o.grams.append(grams)
@@ -361,16 +378,47 @@ def _route(rows: pa.Table, answers: pa.Table) -> pa.Table:
     asked = _in_order(rows)
     _, place = Grams.merged(asked)
     got = sorted(answers.to_pylist(), key=lambda r: r["part"])
-    values = {k: np.concatenate([f(r[k], r["size"]) for r in got]) for k, f in (("counts", expand), ("starts", expand_steps), ("word_ids", expand)) if got[0][k] is not None}
+    values = {k: np.concatenate([f(r[k], r["size"]) for r in got]) for k, f in (("counts", expand), ("starts", expand_steps), ("word_ids", expand), ("buckets", expand)) if got[0][k] is not None}
     return _table(_answers(asked, place, asked[0]["r"], **values), _COUNTED)
 
 
+def _histories(num: Numbers, order: int):
+    """From the table of the order before: the count of each gram's suffix, for the buckets whose histories it is in."""
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in given:
+            for row in b.to_pylist():
+                grams = Grams.unpacked(row)
+                start = num.base[order - 2][row["r"]] + np.cumsum(grams.count) - grams.count
+                first, last = start // num.stretch, (start + grams.count - 1) // num.stretch
+                at, step = expand_runs(last - first + 1)
+                bucket = first[at] + step
+                order_ = np.lexsort((start[at], bucket))
+                at, bucket = at[order_], bucket[order_]
+                found, begin = np.unique(bucket, return_index=True)
+                rows = [{"g": 0, "r": int(r), "size": z - a, "h": squeeze_steps(start[at[a:z]]), "below": squeeze(grams.suffix[at[a:z]])} for r, a, z in zip(found, begin, np.append(begin[1:], len(at)).tolist())]
+                yield from _table(rows, _HISTORIES).to_batches()
+
+    return run
+
+
 def _add_up(num: Numbers, order: int, last: bool):
     """Counts of a bucket's grams over all blocks: answers, and the bucket's part of the gram table."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table, histories: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return _table([], _COUNTED)
         bucket, rows = t["r"][0].as_py(), _in_order(t)
         grams, place = Grams.merged(rows)
+        if order == 2:
+            grams.below = np.full(len(grams.h), num.tokens)
+        elif order > 2:
+            known = histories.to_pylist()
+            h = np.concatenate([expand_steps(r["h"], r["size"]) for r in known] or [grams.h[:0]])
+            below = np.concatenate([expand(r["below"], r["size"]) for r in known] or [grams.h[:0]]).astype(np.int64)
+            by = np.argsort(h, kind="stable")
+            if len(by):
+                grams.below = below[by[np.minimum(np.searchsorted(h[by], grams.h), len(by) - 1)]]
         total = grams.count
         values = {"counts": total.astype(np.uint64)}
         if not last:
@@ -378,6 +426,7 @@ def _add_up(num: Numbers, order: int, last: bool):
         if order == 1:  # frequent words get small numbers, the same whatever the blocks
             rank = np.empty(len(total), np.uint64)
             rank[np.lexsort((grams.h, -total))] = np.arange(len(total), dtype=np.uint64)
+            values["buckets"] = grams.bucket.astype(np.uint64)
             values["word_ids"] = (rank << np.uint64(num.word_bits)) + np.uint64(bucket)
         out = _answers(rows, place, bucket, **values)
         seen = np.flatnonzero(total > 0)
@@ -392,13 +441,13 @@ def _grouped(num: Numbers, df: DataFrame, *key: str):
     return df.repartition(num.tasks, *key).groupBy(*key)
 
 
-def _asked(rows: DataFrame, num: Numbers, order: int, last: bool, level: int = 1) -> DataFrame:
+def _asked(rows: DataFrame, histories: DataFrame, num: Numbers, order: int, last: bool, level: int = 1) -> DataFrame:
     """Answers to the sources of `rows`, and the gram table, through what is left of the tree."""
     if level == num.levels:
-        return _grouped(num, rows, "g", "r").applyInArrow(_add_up(num, order, last), _COUNTED)
+        return _grouped(num, rows, "g", "r").cogroup(_grouped(num, histories, "g", "r")).applyInArrow(_add_up(num, order, last), _COUNTED)
     rows = written(rows, f"rows{level}")
     onward = _grouped(num, rows, "g", "r").applyInArrow(_merge(num, level), _MESSAGES)
-    found = written(_asked(onward, num, order, last, level + 1), f"answers{level}", "kind").select(*[c.split()[0] for c in _COUNTED.split(", ")])
+    found = written(_asked(onward, histories, num, order, last, level + 1), f"answers{level}", "kind").select(*[c.split()[0] for c in _COUNTED.split(", ")])
     answers = found.where("kind = 'answer'")
     return _grouped(num, rows, "g", "r").cogroup(_grouped(num, answers, "g", "r")).applyInArrow(_route, _COUNTED).unionByName(found.where("kind = 'grams'"))
 
@@ -510,9 +559,10 @@ class Model:
 
 def train(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKENS, fan: int = FAN, others: DataFrame | None = None) -> Model:
     """The model of `docs`; the blocks of `others` are answered too, but don't count."""
-    texts = texts_table(docs)
+    texts, *paths = texts_table(docs)
     if others is not None:
-        texts = texts.unionAll(texts_table(others, False))
+        more, path = texts_table(others, False)
+        texts, paths = texts.unionAll(more), [*paths, path]
     blocks, entries, tokens = texts.agg(F.count("*"), F.sum("n_words"), F.sum(F.when(F.col("counted"), F.col("n_tokens")))).first()
     tokens = max(1, tokens or 0)
     bits = max(0, math.ceil(math.log2(max(1, (entries or 0) / bucket_tokens))))
@@ -523,11 +573,21 @@ def train(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKEN
     num = Numbers(tokens, bucket_tokens, bits, levels, fan, max(1, -(-blocks // fan)), tasks, [], [])
     model = Model(texts, [], [], num)
     for m in range(1, order + 1):
-        known = texts.sparkSession.createDataFrame([], "n int, g bigint, r bigint, part bigint, size bigint, counts binary, starts binary, word_ids binary")
+        known = texts.sparkSession.createDataFrame([], "n int, g bigint, r bigint, part bigint, size bigint, counts binary, starts binary, word_ids binary, buckets binary")
         for k in range(1, m):
             known = known.unionAll(model.answers(k))
         rows = _grouped(num, texts, "block").cogroup(_grouped(num, known, "g")).applyInArrow(_send(num, m), _MESSAGES)
-        counted = written(_asked(rows, num, m, m == order), f"grams{m}", "kind")
+        histories = model.grams(m - 1).mapInArrow(_histories(num, m), _HISTORIES) if m > 2 else texts.sparkSession.createDataFrame([], _HISTORIES)
+        width = num.node(1, 0, np.array([(1 << bits) if m == 1 else -(-tokens // bucket_tokens)]))[1][0] + 1
+        path = scratch(texts.sparkSession, f"rows{m}")
+        rows = saved(rows.withColumn("pass", F.expr(f"int(r * {PASSES} div {width})")), path, "pass")
+        counted = None
+        for k in range(PASSES):
+            one = rows.where(F.col("pass") == k).drop("pass")
+            known = histories.where(F.expr(f"int(r * {PASSES} div {width}) = {k}")) if num.levels == 1 else histories
+            part = written(_asked(one, known, num, m, m == order), f"grams{m}", "kind")
+            counted = part if counted is None else counted.unionAll(part)
+        drop(texts.sparkSession, path)
         model.counted.append(counted)
         sizes = model.grams(m).select("r", F.get("tally", F.lit(K + 1)).alias("n")).toArrow()
         base = np.zeros((1 << bits) if m == 1 else -(-tokens // bucket_tokens) + 1, np.int64)
@@ -536,6 +596,9 @@ def train(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKEN
         tally = np.array(model.grams(m).agg(*[F.coalesce(F.sum(F.get("tally", F.lit(k))), F.lit(0)) for k in range(K + 2)]).first(), np.int64)
         num.factors.append(discounts(tally[: K + 1]))
         if m == 1:
+            texts = model.texts = written(texts.withColumn("words", F.lit(None).cast("binary")), "texts")
+            for p in paths:
+                drop(texts.sparkSession, p)
             r = np.arange(1, K + 1)
             large = tally[K + 1] - (r * tally[:K]).sum()
             num.unknown = 1 - float((num.factors[0][1 : K + 1] * r * tally[:K]).sum() + num.factors[0][K + 1] * large) / tokens
@@ -556,10 +619,10 @@ def _asked_weights(model: Model, texts: DataFrame, answers: DataFrame, order: in
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by("history")
         row = {"n": pa.array([-t["n"][0].as_py()], pa.int32()), "g": pa.array([t["block"][0].as_py()]), "r": pa.array([0]), "part": pa.array([0]), "size": pa.array([len(t)])}
-        row |= {"counts": pa.nulls(1, pa.binary()), "starts": pa.array([squeeze_steps(t["history"].to_numpy())], pa.binary()), "word_ids": pa.array([t["weight"].to_numpy().astype("<f8").tobytes()], pa.binary())}
+        row |= {"counts": pa.nulls(1, pa.binary()), "buckets": pa.nulls(1, pa.binary()), "starts": pa.array([squeeze_steps(t["history"].to_numpy())], pa.binary()), "word_ids": pa.array([t["weight"].to_numpy().astype("<f8").tobytes()], pa.binary())}
         return pa.table(row)
 
-    schema = "n int, g bigint, r bigint, part bigint, size bigint, counts binary, starts binary, word_ids binary"
+    schema = "n int, g bigint, r bigint, part bigint, size bigint, counts binary, starts binary, word_ids binary, buckets binary"
     return found.groupBy("block", "n").applyInArrow(pack, schema)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import linear
+from quarry.llm.common import written
 from quarry.llm.textvec import LETTER, batches, classes, codepoints, mix, scatter
 
 BITS = 15
@@ -126,16 +127,11 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[str], np.nda
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, families: dict[str, str] = FAMILIES) -> Model:
-    """A model from at most `sample` documents of each language that `lang` names."""
-    named = docs.select("doc_id", "lang", "text").where("text IS NOT NULL AND lang IS NOT NULL")
-    langs = [r[0] for r in named.select("lang").distinct().collect()]
-    ids = None
-    for lang in langs:
-        part = linear.bounded(named.where(F.col("lang") == lang).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")), sample, "__id")
-        ids = part if ids is None else ids.unionAll(part)
-    if ids is None:
-        return Model()
-    chosen = named.join(ids.distinct(), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("doc_id", "lang", "text")
+    """A model from at most `sample` documents of each language that `lang` names, one text each."""
+    named = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND doc_id IS NOT NULL")
+    ids = written(linear.bounded(named, sample, "doc_id", "lang").select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")), "sampled")
+    chosen = named.where("text IS NOT NULL").join(ids, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
+    chosen = linear.one_text(chosen, "doc_id", "lang")
 
     def features(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in given:
@@ -147,7 +143,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, families: dict[str, str] = FAMI
                 rows = [f[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("lang").slice(i, j - i), pa.array(rows, pa.binary())], names=["doc_id", "lang", "f"])
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
     got = chosen.mapInArrow(features, f"doc_id {kind}, lang string, f binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     return fit([np.frombuffer(x, "<u2") for x in got["f"].to_pylist()], got["lang"].to_pylist(), families)
 
@@ -160,8 +156,13 @@ def identify(docs: DataFrame, sample: int = SAMPLE, families: dict[str, str] = F
     column lang isn't null, and applied to all whole texts.  A language that
     `families` lacks is a family of its own.
 
+    Of two languages with as many pairs won the one with the larger sum of margins
+    is chosen, then the first by name.
+
     Defined cases: a null or empty text, or one without letters, is "und" with
-    margin 0; without labelled rows all are "und"; with one language all texts
+    margin 0; of the sampled doc_ids those with a null text are not fitted to, of
+    several texts under one doc_id and language that with the smallest hash is;
+    doc_id may have any type; without labelled rows all are "und"; with one language all texts
     with letters are that language, with margin 0; repeated rows give repeated
     rows; an empty table gives an empty result; other columns are not looked at.
     """
@@ -173,5 +174,5 @@ def identify(docs: DataFrame, sample: int = SAMPLE, families: dict[str, str] = F
                 family, lang, margin = predict(model, b.column("text").slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(family, pa.string()), pa.array(lang, pa.string()), pa.array(margin)], names=["doc_id", "family", "language", "margin"])
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, family string, language string, margin double")

@@ -3,13 +3,36 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bounded(rows: DataFrame, n: int, *key: str) -> DataFrame:
-    """At most `n` rows, those with the smallest hash of `key`: as good as random, and the same on every run."""
-    return rows.orderBy(F.xxhash64(*key), *key).limit(n)
+#: Range of the hashes that choose a sample.
+_RANGE = 1 << 40
+
+
+def bounded(rows: DataFrame, n: int, key: str, group: str | None = None) -> DataFrame:
+    """Distinct values of `key`, at most `n` in each `group`, those with the smallest hash: as good as random, and the same on every run.
+
+    Which hashes are small enough is found from the number of values first, so
+    that no task gets many more than `n` of a group, however many tasks there are.
+    """
+    by = [group] if group else []
+    rows = rows.where(F.col(key).isNotNull()).select(key, *by)
+    sizes = rows.groupBy(*by).agg(F.approx_count_distinct(key).alias("__n"))
+    most = F.least(F.lit(1.0), (1.3 * n + 100) / F.greatest(F.col("__n"), F.lit(1)))
+    h = F.pmod(F.xxhash64(key), F.lit(_RANGE))
+    few = rows.withColumn("__h", h)
+    few = few.join(sizes, group) if group else few.withColumn("__n", F.lit(sizes.first()[0]))
+    few = few.where(F.col("__h") <= most * _RANGE).select(key, "__h", *by).distinct()
+    w = Window.partitionBy(*by) if group else Window.partitionBy(F.lit(0))
+    return few.withColumn("__r", F.row_number().over(w.orderBy("__h", key))).where(F.col("__r") <= n).select(key, *by)
+
+
+def one_text(rows: DataFrame, *key: str) -> DataFrame:
+    """(key, text) with one text for each key: of several that with the smallest hash, then the first."""
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("t")
+    return rows.groupBy(*key).agg(least).select(*key, F.col("t.text").alias("text"))
 
 
 class Sparse:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import written
+from quarry.llm.textvec import batches, expand
+from quarry.llm.tokens import Tokenizer
 
 CAPACITY = 2048
+#: Parts that the pieces of one length are ranked in, the same for any table.
+SALTS = 16_384
 Pattern = tuple[int, list[int]]
 
 
@@ -85,43 +91,56 @@ def slots(found: list[Pattern]) -> dict[str, np.ndarray]:
     return {k: v[order] for k, v in out.items()}
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokens: str = r"\S+") -> DataFrame:
-    """One row per piece of a document: doc_id, piece, piece_start, n_tokens, pack_id, pack_offset.
+def pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
+    """(doc_id, piece, piece_start, n_tokens, ids) as a table: every document's token ids in pieces of `capacity` and a rest."""
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
-    A document's tokens (matches of `tokens`) are cut into pieces of `capacity`
-    and a rest, so whole texts are packed.  The pieces of one length are ranked
-    by (doc_id, piece) inside salts of a hash, the salts one after the other, and
-    the rank picks the place: pattern, pack and offset.
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Tokenizer(SparkFiles.get(name))
+        for b in given:
+            for i, j in batches(b.column("text"), 1_000_000):
+                ids, counts = tokenizer(b.column("text").slice(i, j - i))
+                owner, piece = expand(np.maximum(1, -(-counts // capacity)))
+                size = np.minimum(counts[owner] - piece * capacity, capacity)
+                cut = np.append(0, np.cumsum(size)).astype(np.int32)
+                cols = [b.column("doc_id").slice(i, j - i).take(pa.array(owner)), pa.array(piece), pa.array(piece * capacity), pa.array(size)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(cut), pa.array(ids.astype(np.int32)))], names=["doc_id", "piece", "piece_start", "n_tokens", "ids"])
+
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece bigint, piece_start bigint, n_tokens bigint, ids array<int>"), "pieces")
+
+
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+    """One row per piece of a document: doc_id, piece, piece_start, n_tokens, ids, pack_id, pack_offset.
+
+    A document's token ids, those of the public vocabulary, are cut into pieces of
+    `capacity` and a rest, so whole texts are packed.  The pieces of one length
+    are ranked by (doc_id, piece, ids) inside salts of a hash, the salts one after
+    the other, and the rank picks the place: pattern, pack and offset.
 
     Defined cases: a null or empty text has one piece of 0 tokens with null
-    pack_id and pack_offset; repeated rows are packed as often as they come; an
-    empty table gives an empty result; other columns are not looked at.
+    pack_id and pack_offset; repeated rows are packed as often as they come, and
+    pieces alike in doc_id, number and ids may change places; an empty table gives
+    an empty result; doc_id may have any type with an order; other columns are not
+    looked at.
     """
-    n = F.coalesce(F.regexp_count(F.col("text"), F.lit(tokens)), F.lit(0))
-    sized = docs.select("doc_id", n.cast("bigint").alias("n"))
-    last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0))
-    pieces = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece")).select(
-        "doc_id",
-        "piece",
-        (F.col("piece") * capacity).alias("piece_start"),
-        F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity).cast("bigint")).alias("n_tokens"),
-    )
-    pieces = written(pieces, "pieces")
-    histogram = {r[0]: r[1] for r in pieces.groupBy("n_tokens").count().collect()}  # at most capacity + 1 rows
+    cut = pieces(docs, vocabulary, capacity)
+    histogram = {r[0]: r[1] for r in cut.groupBy("n_tokens").count().collect()}  # at most capacity + 1 rows
     histogram.pop(0, None)
-    salts = min(1024, max(16, sum(histogram.values()) // 1_000_000))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(SALTS)))
     before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("n_tokens", "salt").count().select("n_tokens", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece", "ids")
     ranked = salted.withColumn("r", F.row_number().over(inside) - 1).join(starts, ["n_tokens", "salt"])
-    ranked = ranked.select("doc_id", "piece", "piece_start", "n_tokens", (F.col("r") + F.col("first")).cast("bigint").alias("rank"))
+    ranked = ranked.select("doc_id", "piece", "piece_start", "n_tokens", "ids", (F.col("r") + F.col("first")).cast("bigint").alias("rank"))
     where = slots(patterns(histogram, capacity))  # its size depends on the capacity only
+    names = ["doc_id", "piece", "piece_start", "n_tokens", "ids"]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = max(1, int(where["rank"].max()) + 1) if len(where["rank"]) else 1
         keys = where["length"] * total + where["rank"]
-        for b in batches:
+        for b in given:
             length, rank = b.column("n_tokens").to_numpy(), b.column("rank").to_numpy()
             real = length > 0
             at = np.searchsorted(keys, length * total + np.minimum(rank, total - 1), "right") - 1
@@ -130,10 +149,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokens: str = r"\S+") -> Dat
                 packs, offsets = where["pack"][at] + rank - where["rank"][at], where["offset"][at]
             else:
                 packs = offsets = np.zeros(len(length), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("doc_id", "piece", "piece_start", "n_tokens")), pa.array(packs, mask=~real), pa.array(offsets, mask=~real)],
-                names=["doc_id", "piece", "piece_start", "n_tokens", "pack_id", "pack_offset"],
-            )
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(packs, mask=~real), pa.array(offsets, mask=~real)], names=[*names, "pack_id", "pack_offset"])
+
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    return ranked.mapInArrow(place, f"doc_id {kind}, piece bigint, piece_start bigint, n_tokens bigint, ids array<int>, pack_id bigint, pack_offset bigint")
+
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece bigint, piece_start bigint, n_tokens bigint, pack_id bigint, pack_offset bigint")
+def assembled(packed: DataFrame) -> DataFrame:
+    """One row per pack: pack_id, n_tokens, ids end to end, and doc_ids and ends of its pieces, which attention must not cross."""
+    members = packed.where("pack_id IS NOT NULL").groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("pack_offset", "n_tokens", "doc_id", "ids"))).alias("m"))
+    ends = F.transform("m", lambda x: x["pack_offset"] + x["n_tokens"])
+    return members.select("pack_id", F.element_at(ends, -1).alias("n_tokens"), F.flatten(F.col("m.ids")).alias("ids"), F.col("m.doc_id").alias("doc_ids"), ends.alias("ends"))

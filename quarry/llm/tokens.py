@@ -65,7 +65,12 @@ def _encoding(vocabulary: str):
 
 
 class Tokenizer:
-    """Ids of whole batches: every distinct piece is encoded once, and remembered up to a bound of memory."""
+    """Ids of whole batches: every distinct piece is encoded once, and remembered up to a bound of memory.
+
+    Pieces are found by a 64-bit hash, and compared character by character with
+    what was found; those that only share their hash with another are encoded on
+    their own.
+    """
 
     HELD = 400_000
 
@@ -78,6 +83,15 @@ class Tokenizer:
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.at = np.zeros(0, np.int64)  # where each key's piece stands in `chars`, and its length
+        self.length = np.zeros(0, np.int64)
+        self.chars = np.zeros(0, np.uint32)
+
+    def _encoded(self, cps: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces end to end, and how many each has."""
+        found = [self.encoding.encode_ordinary(cps[a:b].tobytes().decode("utf-32-le")) for a, b in zip(begin.tolist(), end.tolist())]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((x for xs in found for x in xs), np.uint32, int(count.sum())), count
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of each text's."""
@@ -87,25 +101,45 @@ class Tokenizer:
         new = distinct[~np.isin(distinct, self.keys, assume_unique=True)]
         if len(new):
             at = where[np.searchsorted(distinct, new)]
-            found = [self.encoding.encode_ordinary(cps[a:b].tobytes().decode("utf-32-le")) for a, b in zip(begin[at].tolist(), end[at].tolist())]
-            count = np.fromiter(map(len, found), np.int64, len(found))
-            first = len(self.ids) + np.cumsum(count) - count
+            ids, count = self._encoded(cps, begin[at], end[at])
+            length = end[at] - begin[at]
+            group, n = expand(length)
             keys = np.concatenate([self.keys, new])
             order = np.argsort(keys)
             self.keys = keys[order]
-            self.first = np.concatenate([self.first, first])[order]
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])[order]
             self.count = np.concatenate([self.count, count])[order]
-            self.ids = np.concatenate([self.ids, np.fromiter((x for xs in found for x in xs), np.uint32, int(count.sum()))])
+            self.at = np.concatenate([self.at, len(self.chars) + np.cumsum(length) - length])[order]
+            self.length = np.concatenate([self.length, length])[order]
+            self.ids = np.concatenate([self.ids, ids])
+            self.chars = np.concatenate([self.chars, cps[begin[at][group] + n]])
         slot = np.searchsorted(self.keys, distinct)[inverse]
-        count = self.count[slot]
+        first, count, known = self.first[slot], self.count[slot], self.ids
+        other = np.flatnonzero(~self._same(cps, begin, end, slot))
+        if len(other):
+            ids, own = self._encoded(cps, begin[other], end[other])
+            first[other], count[other] = len(known) + np.cumsum(own) - own, own
+            known = np.concatenate([known, ids])
         group, n = expand(count)
-        ids = self.ids[self.first[slot][group] + n]
+        ids = known[first[group] + n]
         owner = np.searchsorted(offsets, begin, "right") - 1
         per_text = np.bincount(owner, count, len(texts)).astype(np.int64)
         if len(self.keys) > self.HELD:
             self.clear()
         return ids, per_text
 
+    def _same(self, cps: np.ndarray, begin: np.ndarray, end: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether each piece is the one that its slot was filled with."""
+        length = end - begin
+        same = length == self.length[slot]
+        # pieces follow each other without gaps, so all their characters are those of the batch
+        shift = np.repeat(self.at[slot] - begin, length)
+        place = np.arange(len(cps)) + shift
+        wrong = cps != self.chars[np.minimum(place, len(self.chars) - 1)] if len(self.chars) else np.zeros(0, bool)
+        if wrong.any():
+            same[np.searchsorted(begin, np.flatnonzero(wrong), "right") - 1] = False
+        return same
+
 
 def encode(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Control bytes and data bytes of each text whose `counts` ranks stand end to end."""
@@ -159,7 +193,7 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
                 rows = [ids[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(counts), pa.array(rows, pa.binary())], names=["doc_id", "n", "ids"])
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, ids binary"), "ids")
 
 
@@ -203,9 +237,10 @@ def binary_ids(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     ids to a control byte, and both streams begin anew in each document.  With
     the rank table `decode` gives the ids back exactly.
 
-    Defined cases: a null or empty text has 0 tokens and empty streams; repeated
-    rows give repeated rows; an empty table gives empty results; other columns are
-    not looked at.
+    Defined cases: a null or empty text has 0 tokens and empty streams; texts made
+    to share hashes get their own ids all the same; repeated rows give repeated
+    rows; an empty table gives empty results; doc_id may have any type; other
+    columns are not looked at.
     """
     ids = tokenised(docs, vocabulary)
     ranks = rank_table(ids)
@@ -228,5 +263,5 @@ def binary_ids(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]:
                 )
                 row, at = to, int(cut[to])
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return ids.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, control binary, data binary"), ranks

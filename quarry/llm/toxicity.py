@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.linear import bounded
+from quarry.llm.common import written
+from quarry.llm.linear import bounded, one_text
 from quarry.llm.textvec import batches, codepoints, span_hash, words_of
 
 BITS = 18
 #: Besides each word, its beginnings of these lengths are features: a stem counts whatever its ending.
 PREFIXES = (4, 5, 6, 7)
-#: At most so many labelled documents are fitted to.
+#: At most so many labelled documents, one text each, are fitted to.
 SAMPLE = 4_000
 _ENDS = np.array([ord(c) for c in ".!?\n…。！？"], np.uint32)
 
@@ -105,10 +106,15 @@ def fit(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, toxic: np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from a bounded sample of the labelled documents, or None without labels of both kinds."""
-    lab = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg((F.max("toxic") > 0).alias("y"))
-    lab = bounded(lab, sample, "__id")
+    """A model from a bounded sample of the labelled documents, or None without labels of both kinds.
+
+    At most `sample` doc_ids are drawn, and one text is taken for each: of several the one with the smallest hash.
+    """
+    lab = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("__id"), "toxic")
+    ids = bounded(lab, sample, "__id")
+    lab = written(lab.join(ids, "__id").groupBy("__id").agg((F.max("toxic") > 0).alias("y")), "labels")
     named = docs.select("doc_id", "text").where("text IS NOT NULL").join(lab, F.col("doc_id") == F.col("__id"))
+    named = one_text(named, "doc_id", "y")
 
     def features(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in given:
@@ -122,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
                     names=["doc_id", "y", "f", "s"],
                 )
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
     got = named.select("doc_id", "text", "y").mapInArrow(features, f"doc_id {kind}, y boolean, f binary, s binary").toArrow()
     got = got.sort_by("doc_id")
     _, first = np.unique(np.array([hash((f.as_py(), s.as_py())) for f, s in zip(got["f"], got["s"])], np.int64), return_index=True)
@@ -175,8 +181,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     Defined cases: a null or empty text, or one without words, scores 0; without
     labels of both kinds there is nothing to learn from and all score 0; labels
     that are null or of unknown documents are left out, of several for one
-    document the toxic one counts; repeated rows give repeated rows; an empty
-    table gives an empty result; other columns are not looked at.
+    document the toxic one counts; of several texts under one labelled doc_id one
+    is fitted to, that with the smallest hash; repeated rows give repeated rows;
+    an empty table gives an empty result; doc_id may have any type; other columns
+    are not looked at.
     """
     model = train(docs, labels, sample)
 
@@ -191,7 +199,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
                     names=["doc_id", "score", "toxic", "offending"],
                 )
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, toxic boolean, offending array<struct<start:int,end:int,score:double>>")
 
 

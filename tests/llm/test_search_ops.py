@@ -92,6 +92,17 @@ def test_decontamination_of_empty_tables(spark):
     b = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.matches(d, b).collect() == [] and decontam.drop_leaks(d, b).count() == 1
     b = spark.createDataFrame([(1, "a long enough passage of a benchmark")], "item_id bigint, text string")
+    for kind in ("int", "string"):
+        other = b.unionAll(spark.createDataFrame([(None, "another passage of it")], b.schema)).withColumn("item_id", F.col("item_id").cast(kind))
+        text = spark.createDataFrame([("x", "here: A long enough passage, of a benchmark. and another passage of it")], "doc_id string, text string")
+        assert sorted(str(r["item_id"]) for r in decontam.matches(text, other).collect()) == ["1", "None"]
+    short = spark.createDataFrame([(1, "sixteen letters!"), (2, "fifteen letter")], "item_id bigint, text string")
+    text = spark.createDataFrame([(1, "has sixteen letters s and fifteen letter x")], "doc_id bigint, text string")
+    assert [r["item_id"] for r in decontam.matches(text, short).collect()] == []
+    text = spark.createDataFrame([(1, "has sixteen letters9 in it")], "doc_id bigint, text string")
+    exactly = spark.createDataFrame([(1, "sixteen letters9")], "item_id bigint, text string")
+    assert [r["item_id"] for r in decontam.matches(text, exactly).collect()] == [1]
+    assert decontam.matches(text, exactly, least=17).collect() == []
     assert decontam.matches(d.limit(0), b).collect() == []
 
 
@@ -273,6 +284,21 @@ def test_batches_tokenise_as_single_texts(texts):
     assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [x for e in expected for x in e]
 
 
+@needs_vocabulary
+def test_pieces_made_to_share_a_hash_keep_their_own_ids():
+    """Thue-Morse words of 2048 letters and their complements agree in any polynomial hash modulo 2^64."""
+    bits = np.array([bin(k).count("1") % 2 for k in range(2048)])
+    texts = ["".join(a[k] for k in x) for x in (bits, 1 - bits) for a in ("ab", "cd")]
+    hashes = tokens.span_hash(*[np.concatenate([np.array([ord(c) for c in t], np.uint32) for t in texts]), np.arange(0, 8192, 2048), np.arange(2048, 8193, 2048)])
+    assert len(set(hashes.tolist())) == 2
+    encoding, tokenizer = tokens._encoding(VOCABULARY), tokens.Tokenizer(VOCABULARY)
+    for order in (texts, texts[::-1], texts[2:] + texts[:2]):
+        for batch in ([x] for x in order) if order is texts[::-1] else (order,):
+            ids, counts = tokenizer(pa.array([f"so {x} it is" for x in batch]))
+            expected = [encoding.encode_ordinary(f"so {x} it is") for x in batch]
+            assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [x for e in expected for x in e]
+
+
 @needs_vocabulary
 def test_binary_ids_round_trip(spark):
     rng = random.Random(1)

@@ -1,5 +1,6 @@
 """Chat formatting, packing, pseudonyms and exact dedup on small tables, with their edge cases."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -9,7 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm import chat, exact, packing, pii
+from quarry.llm import chat, exact, packing, pii, tokens
+from quarry.llm.queries import VOCABULARY
 
 # -- chat ---------------------------------------------------------------------------------
 
@@ -69,19 +71,35 @@ def check_packs(rows, capacity):
     return by
 
 
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no public vocabulary here")
 def test_pack_covers_whole_documents(spark):
     rng = random.Random(3)
     docs = [(i, " ".join(["w"] * rng.choice([1, 2, 3, 7, 15, 16, 17, 40, 100])), "x") for i in range(300)]
     docs += [(900, None, "x"), (901, "", "x"), (902, " \n ", "x"), (903, "w " * 5000, "x"), (1, "a b", "x"), (1, "a b", "x"), (None, "q r s", "x")]
-    t = spark.createDataFrame(docs, "doc_id bigint, text string, rank string")
-    rows = packing.pack(t, 16).collect()
+    t = spark.createDataFrame(docs, "doc_id bigint, text string, rank string").repartition(3)
+    packed = packing.pack(t, VOCABULARY, 16)
+    rows = packed.collect()
     by = check_packs(rows, 16)
-    assert Counter(r["n_tokens"] for r in rows if r["doc_id"] == 903) == {16: 312, 8: 1}
-    assert sum(r["n_tokens"] for r in rows) == sum(len((x or "").split()) for _, x, _ in docs)
-    assert sorted(r["piece_start"] for r in rows if r["doc_id"] == 903) == [16 * k for k in range(313)]
+    encoding = tokens._encoding(VOCABULARY)
+    whole = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["piece"])):
+        assert r["piece_start"] == 16 * r["piece"] and len(r["ids"]) == r["n_tokens"]
+        whole[r["doc_id"]] += r["ids"]
+    for i, text, _ in docs:
+        if i != 1:
+            assert whole[i] == encoding.encode_ordinary(text or "")
+    assert len(whole[1]) == sum(len(encoding.encode_ordinary(x or "")) for i, x, _ in docs if i == 1)
     histogram = Counter(r["n_tokens"] for r in rows if r["n_tokens"])
     assert len(by) == sum(n for n, _ in packing.patterns(histogram, 16))
-    assert packing.pack(t.limit(0), 16).collect() == []
+    packs = packing.assembled(packed).collect()
+    assert sorted(r["pack_id"] for r in packs) == sorted(by)
+    member = {(r["pack_id"], r["pack_offset"]): r for r in rows if r["pack_id"] is not None}
+    for r in packs:
+        assert len(r["ids"]) == r["n_tokens"] == r["ends"][-1] <= 16
+        for doc_id, start, end in zip(r["doc_ids"], [0, *r["ends"][:-1]], r["ends"]):
+            own = member[r["pack_id"], start]
+            assert (own["doc_id"], own["ids"]) == (doc_id, r["ids"][start:end])
+    assert packing.pack(t.limit(0), VOCABULARY, 16).collect() == []
 
 
 # -- pseudonyms ----------------------------------------------------------------------------------
@@ -182,3 +200,23 @@ def test_drop_copies(spark):
     assert kept.columns == t.columns
     assert Counter((r["doc_id"], (r["text"] or "")[:4]) for r in kept.collect()) == {(9, "a"): 1, (3, "b"): 1, (7, ""): 1, (1, ""): 1, (6, ""): 1, (10, "c"): 1, (None, "d"): 1, (11, "long"): 1, (13, "e"): 1}
     assert exact.drop_copies(t.limit(0), history).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["string", "smallint"])
+@pytest.mark.parametrize("history", [[], ["3"]])
+def test_dedup_with_any_id_type_and_history(spark, kind, history):
+    rows = [("1", "a"), ("2", "b"), ("3", "a"), ("4", "a"), (None, "b"), ("5", None)]
+    t = spark.createDataFrame(rows, "doc_id string, text string")
+    t = t.withColumn("doc_id", t["doc_id"].cast(kind))
+    old = spark.createDataFrame([(x,) for x in history], "doc_id string")
+    old = old.withColumn("doc_id", old["doc_id"].cast(kind))
+    got = {str(r["doc_id"]): str(r["keeper_id"]) for r in exact.keepers(t, old, 1).collect()}
+    first = "3" if history else "1"
+    assert got == {"1": first, "2": "2", "3": first, "4": first, "None": "2", "5": "5"}
+
+
+def test_shards_follow_the_larger_side(spark):
+    rows = [(i, f"t{i}") for i in range(500)]
+    t = spark.createDataFrame(rows, "doc_id bigint, text string")
+    none = spark.createDataFrame([], "doc_id bigint")
+    assert {r["keeper_id"] for r in exact.keepers(t, none, 10).collect()} == set(range(500))

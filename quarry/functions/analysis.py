@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from quarry.errors import IllegalArgument, Unsupported
 from quarry.functions.stemmers import french_light, porter
 
-#: Word bounds of alphabetic scripts without look-around, alike in Java and RE2; terms need a letter or digit.
-WORD = r"(?:[\p{L}\p{M}]+(?:[.:'’·][\p{L}\p{M}]+)*|\p{N}+(?:[.,;'’]\p{N}+)*|_)+"
+#: Ideographs and kana that stand for themselves: each is a word.
+_ALONE = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3041-\u309f"
+_RUN = rf"(?:[^\P{{L}}{_ALONE}]+\p{{M}}*)+"
+#: Word bounds without look-around, alike in Java and RE2; terms need a letter or digit.
+WORD = rf"[{_ALONE}]\p{{M}}*|(?:{_RUN}(?:[.:'’·]{_RUN})*|\p{{N}}+(?:[.,;'’]\p{{N}}+)*|_)+"
 LETTERS = r"\p{L}+"
 #: Terms of this many bytes and more are dropped.
 LIMIT = 255

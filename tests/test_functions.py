@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.errors import IllegalArgument, MapperParsing, Parsing, Unsupported
 from quarry.functions import analysis, dates, patterns
@@ -150,3 +151,11 @@ def test_inference_and_mappings():
     for path, doc in ((maps.StrictMapping, {"new": 1}), (maps.DocumentParsing, {"t": {"x": 1}})):
         with pytest.raises(path):
             maps.grown(m if path is maps.StrictMapping else maps.Mapping(fields={"t": maps.Field("text")}), doc)
+
+
+def test_ideographs_stand_alone(spark):
+    text = "日本語 abc中文def ひらカタカナ l'ascension 3.14 éte_1"
+    expected = ["日", "本", "語", "abc", "中", "文", "def", "ひ", "ら", "カタカナ", "l'ascension", "3.14", "éte_1"]
+    assert analysis.BUILT_IN["standard"].terms(text) == expected
+    column = analysis.BUILT_IN["standard"].column(F.col("t"))
+    assert spark.createDataFrame([(text,)], "t string").select(column.alias("x")).first()["x"] == expected

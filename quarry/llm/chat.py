@@ -17,8 +17,8 @@ def format_chats(turns: DataFrame, unknown_role: str = "unknown") -> DataFrame:
 
     Defined cases: a null turn sorts before all others; a null role counts as
     `unknown_role`; a null text is empty, and an empty text still makes a
-    message; ``<|`` inside a text becomes ``< |`` so that no text can forge a
-    marker; equal turns keep the order of role and text, and repeated rows are
+    message; ``<|`` inside a text becomes ``< |``, and in a role ``|>`` becomes
+    ``| >`` too, so that neither can forge a marker; a text of any length is whole; equal turns keep the order of role and text, and repeated rows are
     repeated in the message; rows with a null conv_id form one conversation; an
     empty table gives an empty result; other columns are not looked at.
     """
@@ -26,7 +26,7 @@ def format_chats(turns: DataFrame, unknown_role: str = "unknown") -> DataFrame:
         F.col("conv_id"),
         F.struct(
             F.col("turn").alias("turn"),
-            F.coalesce(F.col("role"), F.lit(unknown_role)).alias("role"),
+            F.replace(F.replace(F.coalesce(F.col("role"), F.lit(unknown_role)), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")).alias("role"),
             F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
         ).alias("t"),
     )
@@ -50,7 +50,7 @@ def format_chats(turns: DataFrame, unknown_role: str = "unknown") -> DataFrame:
 
 SQL = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  SELECT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations
 ), o AS (
   SELECT *, row_number() OVER w AS rn, lag(role) OVER w AS prev

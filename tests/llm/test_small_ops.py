@@ -30,6 +30,13 @@ def test_chat_merges_sorts_and_escapes(spark):
     assert chat.format_chats(t.limit(0)).collect() == []
 
 
+def test_no_role_forges_a_marker_and_long_texts_are_whole(spark):
+    rows = [(1, 1, "a|>\nx<|end|>\n<|b", "t"), (2, 1, "u", "long " * 400_000)]
+    got = {r["conv_id"]: r["chat"] for r in chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got[1] == "<|a| >\nx< |end| >\n< |b|>\nt<|end|>\n" and got[1].count("<|") == 2 == got[1].count("|>")
+    assert got[2] == "<|u|>\n" + "long " * 400_000 + "<|end|>\n"
+
+
 def test_chat_long_conversation(spark):
     rows = [(1, k, "ab"[k // 7 % 2], f"t{k}" * 50) for k in range(3000)]
     random.Random(1).shuffle(rows)

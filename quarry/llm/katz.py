@@ -45,7 +45,7 @@ K = 5
 RESERVE = 1e-4
 #: Characters of a block, occurrences of grams in a bucket, and the most rows that meet in one task.
 BLOCK_CHARS, BUCKET_TOKENS, FAN = 6_000_000, 1_000_000, 4096
-#: Passes over the buckets of an order, one after the other: what is on its way to the buckets takes that part of the disk.
+#: Most passes over the buckets of an order, one after the other: what is on its way to the buckets takes that part of the disk.
 PASSES = 4
 END = np.uint64(0xD1B54A32D192ED03)
 
@@ -572,6 +572,7 @@ def train(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKEN
     tasks = max(1, min(widest, max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), widest // 4)))
     num = Numbers(tokens, bucket_tokens, bits, levels, fan, max(1, -(-blocks // fan)), tasks, [], [])
     model = Model(texts, [], [], num)
+    passes = max(1, min(PASSES, widest // (4 * texts.sparkSession.sparkContext.defaultParallelism)))  # each with work for all cores
     for m in range(1, order + 1):
         known = texts.sparkSession.createDataFrame([], "n int, g bigint, r bigint, part bigint, size bigint, counts binary, starts binary, word_ids binary, buckets binary")
         for k in range(1, m):
@@ -580,11 +581,11 @@ def train(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKEN
         histories = model.grams(m - 1).mapInArrow(_histories(num, m), _HISTORIES) if m > 2 else texts.sparkSession.createDataFrame([], _HISTORIES)
         width = num.node(1, 0, np.array([(1 << bits) if m == 1 else -(-tokens // bucket_tokens)]))[1][0] + 1
         path = scratch(texts.sparkSession, f"rows{m}")
-        rows = saved(rows.withColumn("pass", F.expr(f"int(r * {PASSES} div {width})")), path, "pass")
+        rows = saved(rows.withColumn("pass", F.expr(f"int(r * {passes} div {width})")), path, "pass")
         counted = None
-        for k in range(PASSES):
+        for k in range(passes):
             one = rows.where(F.col("pass") == k).drop("pass")
-            known = histories.where(F.expr(f"int(r * {PASSES} div {width}) = {k}")) if num.levels == 1 else histories
+            known = histories.where(F.expr(f"int(r * {passes} div {width}) = {k}")) if num.levels == 1 else histories
             part = written(_asked(one, known, num, m, m == order), f"grams{m}", "kind")
             counted = part if counted is None else counted.unionAll(part)
         drop(texts.sparkSession, path)

@@ -10,11 +10,6 @@ import pytest
 from quarry.llm import katz
 
 
-@pytest.fixture(autouse=True)
-def one_pass(monkeypatch, request):
-    monkeypatch.setattr(katz, "PASSES", 2 if "sum_to_one" in request.node.name else 1)
-
-
 DOCS = [
     (1, "the cat sat on the mat. The cat sat!"),
     (2, "the dog sat on the log"),

@@ -163,6 +163,10 @@ class Found:
     order: list[Column] = field(default_factory=list)
     columns: list[Column] = field(default_factory=list)
 
+    def all_hits(self) -> DataFrame:
+        """All hits with the columns of a page, in no order."""
+        return self.everything.select(*self.columns)
+
     def in_order(self) -> DataFrame:
         """All hits with their places from 1 in a column `__row`, beyond any window."""
         return numbered(self.everything, self.order).select("__row", *self.columns)

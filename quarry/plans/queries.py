@@ -164,8 +164,8 @@ hits(
     score=True,
 )
 hits(
-    "phrase_prefix", "documents", {"match_phrase_prefix": {"text": {"query": "of th", "max_expansions": 5}}}, ["doc_id"],
-    f"{_PAIRS} SELECT DISTINCT doc_id FROM p WHERE t = 'of' AND nxt IN (SELECT DISTINCT t FROM p WHERE starts_with(t, 'th') ORDER BY t LIMIT 5)",
+    "phrase_prefix", "documents", {"match_phrase_prefix": {"text": "of th"}}, ["doc_id"],
+    f"{_PAIRS} SELECT DISTINCT doc_id FROM p WHERE t = 'of' AND nxt IN (SELECT DISTINCT t FROM p WHERE starts_with(t, 'th') ORDER BY t LIMIT 50)",
 )
 
 
@@ -355,7 +355,7 @@ def multi_index_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 register(
     "multi_index_unmapped",
     multi_index_unmapped,
-    f"SELECT _index, key FROM {_PARTIES} WHERE segment = 'BUILDING' OR balance < 0 ORDER BY key, _index LIMIT 5000",
+    f"SELECT _index, key FROM {_PARTIES} WHERE segment = 'BUILDING' OR balance < 0",
 )
 
 
@@ -399,8 +399,8 @@ register(
 )
 register(
     "source_filter",
-    lambda spark, sf_dir: search(with_lines(spark, sf_dir), {"_source": {"includes": ["o_orderkey", "lines.*", "o_t*"], "excludes": ["lines.l_line*"]}, "sort": [{"o_totalprice": "asc"}], "size": 50}).hits.selectExpr("o_orderkey", "o_totalprice", "to_json(lines) AS lines"),
-    "SELECT o_orderkey, o_totalprice, (SELECT '[' || string_agg('{\"l_quantity\":' || (l_quantity::DOUBLE)::VARCHAR || ',\"l_returnflag\":\"' || l_returnflag || '\"}', ',' ORDER BY l_linenumber, l_quantity, l_returnflag, l_linestatus) || ']' FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50",
+    lambda spark, sf_dir: search(with_lines(spark, sf_dir), {"_source": {"includes": ["o_orderkey", "lines.*", "o_t*"], "excludes": ["lines.l_line*"]}, "sort": [{"o_totalprice": "asc"}]}).all_hits().selectExpr("o_orderkey", "o_totalprice", "to_json(lines) AS lines"),
+    "SELECT o_orderkey, o_totalprice, (SELECT '[' || string_agg('{\"l_quantity\":' || (l_quantity::DOUBLE)::VARCHAR || ',\"l_returnflag\":\"' || l_returnflag || '\"}', ',' ORDER BY l_linenumber, l_quantity, l_returnflag, l_linestatus) || ']' FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM orders",
 )
 register(
     "event_windows",

@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from quarry.plans import replay  # noqa: F401  registers its queries
 from quarry.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -130,3 +130,15 @@ def test_stream_of_writes(catalog, spark, tmp_path):
 def test_windows(spark):
     rows = spark.createDataFrame([("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:50:00"), ("a", "2024-01-01 01:00:00")], "k string, t string").selectExpr("k", "cast(t as timestamp) t")
     assert sorted(r["n"] for r in tumbling(rows, "t", "1 hour", "k", late="10 minutes").collect()) == [1, 2]
+
+
+def test_fields_added_after_a_refresh_and_a_root_given_as_uri(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/root")
+    c.write("i", "index", "1", {"t": "some text"})
+    c.refresh()
+    c.write("i", "index", "2", {"t": "more text", "new": 5})
+    assert c.search("i", {"query": {"bool": {"must": {"match": {"t": "text"}}, "must_not": {"exists": {"field": "new"}}}}}).total() == 1
+    c.refresh()
+    again = Catalog(spark, f"file://{tmp_path}/root")
+    assert again.search("i", {"query": {"range": {"new": {"gte": 5}}}}).total() == 1 and again.count("i", {"query": {"match": {"t": "text"}}}) == 2
+    assert [d["found"] for d in again.mget(ids=["1", "3", "2"], index="i")] == [True, False, True]

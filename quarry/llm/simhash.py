@@ -1,4 +1,9 @@
-"""SimHash near-dedup: candidates from sampled bits, discarded by tables of their distances to pivots, then verified.
+"""SimHash near-dedup: candidates from blocks of bits, discarded by tables of their distances to pivots, then verified.
+
+**Candidates.**  Fingerprints at most 20 bits apart differ in at most 2 bits in
+one of 7 blocks, since 3 in each make 21.  So whoever looks up, for each block
+of a fingerprint, all values of it with up to 2 bits changed, meets all that are
+near, whatever the number of fingerprints; none is left to chance.
 
 **Pivots.**  Distances of 128-bit fingerprints to one reference crowd around 64,
 so that a few references of any kind tell hardly any two of them apart.  The
@@ -16,8 +21,8 @@ can't be near.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +35,13 @@ from quarry.llm.textvec import batches, mix, words
 BITS = 128
 #: Fingerprints at most so many bits apart are near.
 NEAR = 20
-#: Share of the pairs NEAR bits apart that are to meet in some table, at least; nearer pairs meet more often.
-RECALL = 0.95
-#: Of the pairs in an overfull bucket, the share that are to meet in the tables it is divided by.
-WITHIN = 0.99
-#: A bucket with more rows is divided by further bits before a task holds it.
-HEAVY = 2_000_000
+#: Blocks that a fingerprint is cut into: near ones differ in RADIUS bits at most in one of them, since otherwise they differ in BLOCKS * (RADIUS + 1) or more.
+BLOCKS = 7
+RADIUS = NEAR // BLOCKS
+#: Fingerprints of a cell, about; a task holds two cells.
+CELL = 1_000_000
+#: Cells of a small table, so that its pairs of cells occupy all cores.
+LEAST_CELLS = 8
 _LOW = np.uint64(0x5555555555555555)
 
 
@@ -102,228 +108,126 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _grow(prints: np.ndarray, table: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the components of one large bucket: whoever is reached is compared only with those that aren't.
-
-    Where that goes on for too long, few of the rows being near, the bucket is divided by further bits.
-    """
-    n, done, most = len(prints), 0, 500 * len(prints) if depth < 3 else math.inf
-    free = np.ones(n, bool)
-    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for seed in range(n):
-        if not free[seed]:
-            continue
-        free[seed], queue = False, [seed]
-        while queue and done <= most:
-            x = queue.pop()
-            rest = np.flatnonzero(free)
-            if not len(rest):
-                break
-            done += len(rest)
-            hit = rest[near(prints, table, np.full(len(rest), x), rest)]
-            free[hit] = False
-            out_i.append(np.full(len(hit), x))
-            out_j.append(hit)
-            queue += hit.tolist()
-        if done > most:
-            break
-    if done > most:
-        bits = max(1, math.ceil(math.log2(n / 512)))
-        for t, at in enumerate(tables(bits, dividing(bits), 10 + depth)):
-            key = table_key(np.ascontiguousarray(prints).view(np.uint8), np.zeros(n, np.uint64), t, at)
-            order = np.argsort(key, kind="stable")
-            root = bucket_edges(key[order], prints[order], depth=depth + 1)
-            apart = np.flatnonzero(root != np.arange(n))
-            out_i.append(order[apart])
-            out_j.append(order[root[apart]])
-    return np.concatenate(out_i), np.concatenate(out_j)
-
-
-def bucket_edges(key: np.ndarray, prints: np.ndarray, small: int = 48, depth: int = 0) -> np.ndarray:
-    """Component root of every row, over all buckets (stretches of equal `key`)."""
-    n = len(key)
-    table = pivot_table(prints, base())
-    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.zeros(0, np.int64)
-    size = np.diff(np.append(begin, n))
-    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, s in zip(begin[size > small], size[size > small]):
-        i, j = _grow(prints[a : a + s], table[a : a + s], depth)
-        out_i.append(i + a)
-        out_j.append(j + a)
-    left = np.repeat(np.where(size > small, 0, size), size) - (np.arange(n) - np.repeat(begin, size)) - 1 if n else key
-    for step in range(1, small):
-        i = np.flatnonzero(left >= step)
-        if not len(i):
-            break
-        i = i[near(prints, table, i, i + step)]
-        out_i.append(i)
-        out_j.append(i + step)
-    return roots(n, np.concatenate(out_i), np.concatenate(out_j))
-
-
-def meeting(bits: int) -> float:
-    """Chance that two fingerprints NEAR bits apart agree on `bits` bits drawn without replacement."""
-    return math.prod((BITS - NEAR - k) / (BITS - k) for k in range(bits))
-
-
-def plan(n: int) -> tuple[int, int]:
-    """Bits of a table, and tables, at the least work for n fingerprints: moving a row takes as long as comparing some 100 pairs.
-
-    The bits of real fingerprints are lopsided, since texts share their frequent words: one divides a bucket by 2^0.7 or so.
-    The recall of pairs NEAR bits apart is the same for every n.  A pair may meet
-    in a bucket that is divided again, which the formula takes as happening every
-    time.  Tables on disjoint bits miss a pair together less often than
-    independent ones, for which the formula stands.
-    """
-
-    def count(bits: int) -> int:
-        return math.ceil(math.log(1 - RECALL) / math.log(1 - WITHIN * meeting(bits)))
-
-    bits = min(range(6, 41), key=lambda b: count(b) * (100 + n / 2 ** (0.7 * b + 1)))
-    return bits, count(bits)
-
-
-def dividing(bits: int) -> int:
-    """Tables of so many bits that divide a bucket."""
-    return 1 if not bits else math.ceil(math.log(1 - WITHIN) / math.log(1 - meeting(bits)))
-
-
-def tables(bits: int, n: int, level: int = 0) -> list[np.ndarray]:
-    """The bits that each table looks at: disjoint as far as they go round, then anew."""
-    rng = np.random.Generator(np.random.PCG64([97, level, bits]))
-    out: list[np.ndarray] = []
-    while len(out) < n:
-        order = rng.permutation(BITS)
-        out += [np.sort(order[a : a + bits]) for a in range(0, BITS - bits + 1, max(1, bits))]
-    return out[:n]
-
-
-def table_key(octets: np.ndarray, before: np.ndarray, t: int, at: np.ndarray) -> np.ndarray:
-    """A table's key of each fingerprint (rows of 16 octets), apart from those with another key `before`."""
-    on = (octets[:, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-    packed = np.packbits(on, axis=1)
-    wide = np.zeros((len(on), max(8, -(-packed.shape[1] // 8) * 8)), np.uint8)
-    wide[:, : packed.shape[1]] = packed
-    key = mix(before + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2**64))
-    for word in wide.view(np.uint64).T:
-        key = mix(key ^ word)
-    return key
+def blocks() -> list[tuple[int, int]]:
+    """First bit and width of each block."""
+    ends = [BITS * k // BLOCKS for k in range(BLOCKS + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
 
-def _octets(b: pa.RecordBatch) -> np.ndarray:
-    return np.stack([b.column("f1").to_numpy(), b.column("f2").to_numpy()], 1).view(np.uint8)
+def block_key(prints: np.ndarray, first: int, width: int) -> np.ndarray:
+    """The bits of a block as a number."""
+    word, low = divmod(first, 64)
+    key = prints[:, word] >> np.uint64(low)
+    if low + width > 64:
+        key |= prints[:, word + 1] << np.uint64(64 - low)
+    return (key & np.uint64((1 << width) - 1)).view(np.int64)
 
 
-_ROWS = "key bigint, f1 bigint, f2 bigint, node bigint"
-_LINKED = "kind string, a bigint, b bigint, " + _ROWS
+def ball(width: int) -> np.ndarray:
+    """What two blocks that agree in all but RADIUS bits at most can differ by."""
+    return np.array([sum(1 << b for b in at) for r in range(RADIUS + 1) for at in combinations(range(width), r)], np.int64)
 
 
-def _linked(heavy: int, whole: bool):
-    """Edges within buckets of sorted rows; rows of buckets that are too large, or that may go on in another task, come back.
+def candidates(home: np.ndarray, visit: np.ndarray, step: int = 512, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i of `home`, j of `visit`) that differ in RADIUS bits at most in some block, once for each such block.
 
-    `whole`: no bucket goes on in another task, and all are small enough.
+    They are looked at in turns of about `most`; those that the pivot table
+    can't discard come out.  One word of it is asked before the other.
     """
+    ours, theirs = pivot_table(home, base()), pivot_table(visit, base())
+    for first, width in blocks():
+        word = int(2 * first + width < BITS)  # the one that has less of the block
+        key, masks = block_key(home, first, width), ball(width)
+        order = np.argsort(key, kind="stable")
+        start = np.append(0, np.cumsum(np.bincount(key, minlength=1 << width)))
+        held, rest = ours[order, word], ours[order, 1 - word]
+        other, last = np.ascontiguousarray(theirs[:, word]), np.ascontiguousarray(theirs[:, 1 - word])
+        keys = block_key(visit, first, width)
+        for at in range(0, len(visit), step):
+            look = (keys[at : at + step, None] ^ masks).ravel()
+            low = start[look]
+            size = start[look + 1] - low
+            some = np.flatnonzero(size)
+            low, size, who = low[some], size[some], some // len(masks) + at
+            end = np.cumsum(size)
+            turn = 0
+            while turn < len(end):
+                done = end[turn] - size[turn]
+                upto = max(turn + 1, int(np.searchsorted(end, done + most, "right")))
+                n = size[turn:upto]
+                place = np.repeat(low[turn:upto] + done - (end[turn:upto] - n), n) + np.arange(end[upto - 1] - done)
+                j = np.repeat(who[turn:upto], n)
+                turn = upto
+                bound = np.bitwise_count(held[place] ^ other[j])
+                left = np.flatnonzero(bound <= NEAR)
+                place, j, bound = place[left], j[left], bound[left]
+                bound += np.bitwise_count(rest[place] ^ last[j])
+                left = np.flatnonzero(bound <= NEAR)
+                yield order[place[left]], j[left]
+
+
+def spanning(home: np.ndarray, visit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the near pairs of `home` with `visit`, or with itself, connect; `visit` is numbered on from `home`."""
+    same = visit is None
+    both = home if same else np.concatenate([home, visit])
+    table, shift = pivot_table(both, base()), 0 if same else len(home)
+    root, held = np.arange(len(both)), 0
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        first, over = True, None  # nothing was handled yet; key of the bucket that is being sent back
-
-        def back(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in parts:
-                n = b.num_rows
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(["over"] * n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *b.columns], names=["kind", "a", "b", "key", "f1", "f2", "node"])
-
-        def solve(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            if not b.num_rows:
-                return
-            p, ids, key = _octets(b).view(np.uint64), b.column("node").to_numpy(), b.column("key").to_numpy()
-            order = np.lexsort((ids, key))
-            root = np.empty(len(ids), np.int64)
-            root[order] = order[bucket_edges(key[order], p[order])]
-            apart = root != np.arange(len(ids))
-            n = int(apart.sum())
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(["edge"] * n, pa.string()), pa.array(ids[apart]), pa.array(ids[root[apart]]), none, none, none, none], names=["kind", "a", "b", "key", "f1", "f2", "node"])
+    def merged() -> np.ndarray:
+        apart = np.flatnonzero(root != np.arange(len(both)))
+        return roots(len(both), np.concatenate([apart, *out_i]), np.concatenate([root[apart], *out_j]))
+
+    for i, j in candidates(home, home if same else visit):
+        j = j + shift
+        if same:
+            i, j = i[i < j], j[i < j]
+        ok = near(both, table, i, j)
+        out_i.append(i[ok])
+        out_j.append(j[ok])
+        held += int(ok.sum())
+        if held > 2_000_000:
+            root, held = merged(), 0
+            out_i, out_j = [], []
+    root = merged()
+    apart = np.flatnonzero(root != np.arange(len(both)))
+    return apart, root[apart]
+
+
+def _met(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between the rows of each pair of cells."""
+    parts = [b for b in given if b.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts)
+    p = np.stack([t.column("f1").to_numpy(), t.column("f2").to_numpy()], 1).view(np.uint64)
+    node, pair, side = (t.column(c).to_numpy() for c in ("node", "pair", "side"))
+    for one in np.unique(pair):
+        home, visit = np.flatnonzero((pair == one) & (side != 1)), np.flatnonzero((pair == one) & (side == 1))
+        if len(visit):
+            a, b = spanning(p[home], p[visit])
+        elif (side[home] == 2).any():
+            a, b = spanning(p[home])
+        else:
+            continue
+        at = node[np.concatenate([home, visit])]
+        yield pa.RecordBatch.from_arrays([pa.array(at[a]), pa.array(at[b])], names=["a", "b"])
 
-        for b in given:
-            if not b.num_rows:
-                continue
-            keys = b.column("key").to_numpy()
-            if over is not None:  # the rest of a bucket that is too large
-                n = int(np.searchsorted(keys, over, "right"))
-                yield from back([b.slice(0, n)])
-                b, keys = b.slice(n), keys[n:]
-                if not len(keys):
-                    continue
-                over = None
-            held.append(b)
-            if sum(x.num_rows for x in held) < 50_000:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            k = t.column("key").to_numpy()
-            begun = int(np.searchsorted(k, k[-1]))
-            if begun == 0:
-                if not whole and len(k) > heavy:
-                    yield from back([t])
-                    held, over, first = [], k[-1], False
-                else:
-                    held = [t]
-                continue
-            at = int(np.searchsorted(k, k[0], "right")) if first and not whole else 0
-            yield from back([t.slice(0, at)])
-            yield from solve(t.slice(at, begun - at))
-            held, first = [t.slice(begun)], False
-        if held:
-            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            k = t.column("key").to_numpy()
-            if whole:
-                yield from solve(t)
-            else:
-                at = int(np.searchsorted(k, k[0], "right")) if first else 0
-                end = max(at, int(np.searchsorted(k, k[-1])))
-                yield from back([t.slice(0, at), t.slice(end)])
-                yield from solve(t.slice(at, end - at))
-
-    return run
-
-
-def links(distinct: DataFrame, n: int, heavy: int = HEAVY) -> DataFrame:
-    """Edges (a, b) between nodes, which connect all fingerprints that meet in a table and are near.
-
-    Rows are sorted by key into ranges, so that a key of any number of rows is
-    spread over tasks; each task solves the buckets it has whole, and hands back
-    the first and the last, which may go on in its neighbours, and those with
-    more than `heavy` rows.  Handed back buckets are divided, if they are large,
-    by as many further bits as their size asks for, and meet once more.
-    """
-    bits, count = plan(n)
-    chosen = tables(bits, count)
 
-    def keyed(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in given:
-            octets, before = _octets(b), np.zeros(b.num_rows, np.uint64)
-            for t, at in enumerate(chosen):
-                yield pa.RecordBatch.from_arrays([pa.array(table_key(octets, before, t, at).view(np.int64)), b.column("f1"), b.column("f2"), b.column("node")], names=["key", "f1", "f2", "node"])
+def links(distinct: DataFrame, n: int, most: int = CELL) -> DataFrame:
+    """Edges (a, b) between nodes, which connect just what the pairs of near fingerprints connect; none is left out.
 
-    def divided(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in given:
-            size = b.column("size").to_numpy()
-            further = np.where(size > heavy, np.ceil(np.log2(np.maximum(1, size / heavy))) + 1, 0).astype(int)
-            for more in np.unique(further).tolist():
-                part = b.filter(pa.array(further == more))
-                octets, before = _octets(part), part.column("key").to_numpy().view(np.uint64)
-                for t, at in enumerate(tables(more, dividing(more), 1)):
-                    yield pa.RecordBatch.from_arrays([pa.array(table_key(octets, before, t, at).view(np.int64)), part.column("f1"), part.column("f2"), part.column("node")], names=["key", "f1", "f2", "node"])
-
-    rows = distinct.select("f1", "f2", "node").mapInArrow(keyed, _ROWS)
-    ranged = rows.repartitionByRange("key", "f1").sortWithinPartitions("key", "f1")
-    found = written(ranged.mapInArrow(_linked(heavy, False), _LINKED), "linked", "kind").select(*[c.split()[0] for c in _LINKED.split(", ")])
-    over = found.where("kind = 'over'").select("key", "f1", "f2", "node")
-    sizes = over.groupBy("key").agg(F.count("*").alias("size"))
-    again = over.join(sizes, "key").mapInArrow(divided, _ROWS).repartition("key").sortWithinPartitions("key", "f1")
-    more = again.mapInArrow(_linked(heavy, True), _LINKED)
-    return found.where("kind = 'edge'").select("a", "b").unionAll(more.select("a", "b"))
+    Rows are dealt to cells of about `most` by hash, and every cell meets every
+    cell, itself too, in a task of its own.  The number of cells says how the
+    work is dealt out, and nothing about what is found: all pairs meet once.
+    """
+    cells = max(LEAST_CELLS, -(-n // most))
+    dealt = distinct.select("f1", "f2", "node", F.pmod(F.xxhash64("f1", "f2"), F.lit(cells)).alias("cell"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    low, high = F.least("cell", "other"), F.greatest("cell", "other")
+    side = F.when(F.col("cell") == F.col("other"), 2).when(F.col("cell") < F.col("other"), 0).otherwise(1)
+    rows = dealt.select("f1", "f2", "node", (F.shiftright(high * (high + 1), 1) + low).cast("int").alias("pair"), side.alias("side"))
+    return rows.repartitionById(cells * (cells + 1) // 2, "pair").mapInArrow(_met, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -376,12 +280,10 @@ def groups(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, group_id, the smallest doc_id of the group, n_links, how many other rows it is linked with.
 
     A fingerprint is the 128-bit majority over a text's distinct words.  Equal
-    fingerprints are one; the distinct ones are put into tables by sampled bits
-    and compared within buckets: pairs whose distances to a pivot differ by more
-    than 20 can't be near and are discarded, the others are verified.  Groups are
-    the connected components of pairs at most 20 bits apart.  The search is
-    approximate: of the pairs 20 bits apart 95 % meet in some table, more of the
-    nearer ones, and so at every size; pairs may be linked through others, too.
+    fingerprints are one; the distinct ones meet by blocks of bits: pairs whose
+    distances to a pivot differ by more than 20 can't be near and are discarded,
+    the others are verified.  Groups are the connected components of all pairs
+    at most 20 bits apart; no such pair is left out.
 
     Defined cases: texts that are null, empty or without words are near nothing,
     their group is their own doc_id, with no links; rows with a null doc_id

@@ -1,7 +1,6 @@
 """Decontamination, near-dedup and token ids against brute force."""
 
 import base64
-import math
 import os
 import random
 from collections import Counter, defaultdict
@@ -134,7 +133,7 @@ def test_groups_equal_brute_force(spark):
     prints, _ = simhash.fingerprints(pa.array([x for _, x in docs]))
     pairs = [(i, j) for i in range(len(docs)) for j in range(i) if simhash.distance(prints[i], prints[j]) <= simhash.NEAR]
     assert len(pairs) > 200
-    assert sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs)
+    assert all(got[i] == got[j] for i, j in pairs)
     root = simhash.roots(len(docs), *np.array(pairs).T)
     assert all(root[g] == root[i] for i, g in got.items())  # nothing is grouped that isn't connected
     assert all(got[g] == g and g <= i for i, g in got.items())
@@ -169,67 +168,96 @@ def test_the_bound_is_the_largest_difference_over_all_pivots():
 
 
 def test_pivots_discard_most_far_candidates(spark):
-    """Of the far pairs that tables propose, on real texts, the pivots leave few to verify."""
+    """Of the far pairs that blocks propose, on real texts, the pivots leave few to verify."""
     path = "/root/testdata/sf0.1/documents.parquet"
     if not os.path.exists(path):
         pytest.skip("no test data here")
     texts = pa.array([r[0] for r in spark.read.parquet(path).where("doc_id % 3 = 0").select("text").collect()], pa.string())
     prints, count = simhash.fingerprints(texts)
     prints = np.unique(prints[count > 0], axis=0)
-    table, zero = simhash.pivot_table(prints, simhash.base()), np.zeros(len(prints), np.uint64)
-    bits, n = simhash.plan(len(prints))
+    table = simhash.pivot_table(prints, simhash.base())
+    i, j = np.random.default_rng(1).integers(0, len(prints), (2, 3_000_000))
     far = kept = 0
-    for t, at in enumerate(simhash.tables(bits, n)):
-        key = simhash.table_key(np.ascontiguousarray(prints).view(np.uint8), zero, t, at)
-        order = np.argsort(key)
-        for step in range(1, 40):
-            i, j = order[:-step], order[step:]
-            same = key[i] == key[j]
-            i, j = i[same], j[same]
-            apart = simhash.distance(prints[i], prints[j]) > simhash.NEAR
-            far += int(apart.sum())
-            kept += int((simhash.pivot_bound(table[i], table[j])[apart] <= simhash.NEAR).sum())
+    for first, width in simhash.blocks():
+        key = simhash.block_key(prints, first, width)
+        met = np.bitwise_count(key[i] ^ key[j]) <= simhash.RADIUS
+        met &= simhash.distance(prints[i], prints[j]) > simhash.NEAR
+        far += int(met.sum())
+        kept += int((simhash.pivot_bound(table[i[met]], table[j[met]]) <= simhash.NEAR).sum())
     assert far > 10_000 and kept < 0.1 * far
 
 
-@pytest.mark.parametrize("small", [2, 5, 1000])
-def test_buckets_of_any_size(small):
+def apart(rng, p, bits):
+    """Prints so many bits from those of `p`, each at bits of its own."""
+    q = p.copy()
+    for k in range(len(p)):
+        for bit in rng.choice(128, bits, replace=False):
+            q[k, bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+    return q
+
+
+def test_near_prints_agree_on_a_block():
+    """The blocks take every bit once, and more than NEAR bits are needed to be out of the radius in all of them."""
+    assert [k for a, n in simhash.blocks() for k in range(a, a + n)] == list(range(128))
+    assert len(simhash.blocks()) * (simhash.RADIUS + 1) > simhash.NEAR
+    for k in range(128):
+        p = np.zeros((1, 2), np.uint64)
+        p[0, k >> 6] = np.uint64(1) << np.uint64(k & 63)
+        assert [int(simhash.block_key(p, a, n)[0]) for a, n in simhash.blocks()] == [1 << (k - a) if a <= k < a + n else 0 for a, n in simhash.blocks()]
+    assert sorted(simhash.ball(9).tolist()) == [x for x in range(512) if x.bit_count() <= simhash.RADIUS]
+
+
+@pytest.mark.parametrize("step, most", [(1, 1), (7, 50), (512, 1_000_000)])
+def test_candidates_are_all_that_blocks_propose_and_pivots_leave(step, most):
     rng = np.random.default_rng(6)
-    key = np.sort(rng.integers(0, 6, 200))
-    p = rng.integers(0, 2**64, (20, 2), np.uint64, endpoint=False)[rng.integers(0, 20, 200)] ^ (np.uint64(1) << rng.integers(0, 64, (200, 2)).astype(np.uint64))
-    got = simhash.bucket_edges(key, p, small)
-    i, j = np.triu_indices(200, 1)
-    ok = (key[i] == key[j]) & (simhash.distance(p[i], p[j]) <= simhash.NEAR)
-    assert (got == simhash.roots(200, i[ok], j[ok])).all()
+    p = apart(rng, rng.integers(0, 2**64, (20, 2), np.uint64, endpoint=False)[rng.integers(0, 20, 200)], 9)
+    i, j = (x.ravel() for x in np.mgrid[:120, 120:200])
+    table = simhash.pivot_table(p, simhash.base())
+    left = simhash.pivot_bound(table[i], table[j]) <= simhash.NEAR
+    expected = Counter()
+    for first, width in simhash.blocks():
+        key = simhash.block_key(p, first, width)
+        ok = left & (np.bitwise_count(key[i] ^ key[j]) <= simhash.RADIUS)
+        expected.update(zip(i[ok].tolist(), j[ok].tolist()))
+    got = Counter()
+    for a, b in simhash.candidates(p[:120], p[120:], step, most):
+        got.update(zip(a.tolist(), (b + 120).tolist()))
+    assert got == expected and {(x, y) for x, y in zip(i.tolist(), j.tolist()) if simhash.distance(p[x], p[y]) <= simhash.NEAR} <= set(got)
+
+
+def test_spanning_edges_of_cells_equal_brute_force():
+    rng = np.random.default_rng(8)
+    p = apart(rng, rng.integers(0, 2**64, (40, 2), np.uint64, endpoint=False)[rng.integers(0, 40, 400)], 10)
+    i, j = np.triu_indices(400, 1)
+    ok = simhash.distance(p[i], p[j]) <= simhash.NEAR
+    i, j = i[ok], j[ok]
+    assert (simhash.roots(400, *simhash.spanning(p)) == simhash.roots(400, i, j)).all()
+    across = (i < 150) & (j >= 150)
+    assert (simhash.roots(400, *simhash.spanning(p[:150], p[150:])) == simhash.roots(400, i[across], j[across])).all()
+    assert all(len(x) == 0 for given in ((p[:0],), (p[:0], p), (p, p[:0])) for x in simhash.spanning(*given))
 
 
-def test_a_large_bucket_of_far_prints_is_divided():
+def test_many_far_prints_with_one_partner_each():
     rng = np.random.default_rng(7)
-    p = rng.integers(0, 2**64, (6000, 2), np.uint64, endpoint=False)
-    p[3000:] = p[:3000]
-    for k in range(3000, 6000):  # each one's partner is 12 bits away
-        for bit in rng.choice(128, 12, replace=False):
-            p[k, bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
-    root = simhash.bucket_edges(np.zeros(6000, np.uint64), p)
-    assert (root[:3000] == root[3000:]).mean() > 0.99 and len(np.unique(root)) >= 3000
-
-
-@pytest.mark.parametrize("n, heavy", [(300, 10), (4000, 2_000_000), (4000, 200)])
-def test_recall_of_pairs_at_the_threshold(spark, n, heavy):
-    """Pairs exactly 20 bits apart, in one hot cluster of bits or spread, are linked as often as is promised."""
+    p = rng.integers(0, 2**64, (3000, 2), np.uint64, endpoint=False)
+    root = simhash.roots(6000, *simhash.spanning(np.concatenate([p, apart(rng, p, 12)])))
+    assert (root[:3000] == np.arange(3000)).all() and (root[3000:] == np.arange(3000)).all()
+
+
+@pytest.mark.parametrize("n, most", [(300, 40), (4000, 1_000_000), (4000, 600)])
+def test_every_pair_at_the_threshold_is_linked(spark, n, most):
+    """Pairs exactly 20 bits apart, in one hot cluster of bits or spread, in cells of any size."""
     rng = np.random.default_rng(n)
     p = rng.integers(0, 2**64, (n, 2), np.uint64, endpoint=False)
-    if heavy < n:  # a third agree on the first word, so that tables on its bits have a hot key
+    if most < n:  # a third agree on the first word, and so on three blocks
         p[: n // 3, 0] = p[0, 0]
-    q = p.copy()
-    for k in range(n):
-        for bit in rng.choice(128, simhash.NEAR, replace=False):
-            q[k, bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
-    both = np.concatenate([p, q]).view(np.int64)
-    rows = spark.createDataFrame([(int(a), int(b), k) for k, (a, b) in enumerate(both)], "f1 bigint, f2 bigint, node bigint").repartition(5)
-    found = dict(map(tuple, simhash.components(simhash.links(rows, 2 * n, heavy)).collect()))
-    linked = sum(found.get(k, k) == found.get(k + n, k + n) for k in range(n))
-    assert linked >= (simhash.RECALL - 0.02) * n
+    both = np.concatenate([p, apart(rng, p, simhash.NEAR)])
+    rows = spark.createDataFrame([(int(a), int(b), k) for k, (a, b) in enumerate(both.view(np.int64))], "f1 bigint, f2 bigint, node bigint").repartition(5)
+    found = dict(map(tuple, simhash.components(simhash.links(rows, 2 * n, most)).collect()))
+    expected = [np.flatnonzero(simhash.distance(both[k], both) <= simhash.NEAR) for k in range(2 * n)]
+    root = simhash.roots(2 * n, np.repeat(np.arange(2 * n), [len(x) for x in expected]), np.concatenate(expected))
+    assert all(k in expected[k + n] for k in range(n))
+    assert [found.get(k, k) for k in range(2 * n)] == root.tolist()
 
 
 def test_components_of_chains(spark):
@@ -316,14 +344,6 @@ def test_binary_ids_round_trip(spark):
     assert empty.collect() == [] and none.collect() == []
 
 
-@pytest.mark.parametrize("n", [2, 1_000, 10_000, 200_000, 12_000_000, 2**31, 10**11])
-def test_recall_holds_at_the_threshold(n):
-    bits, tables = simhash.plan(n)
-    agree = math.comb(simhash.BITS - bits, simhash.NEAR) / math.comb(simhash.BITS, simhash.NEAR)  # none of the bits that differ is drawn
-    assert agree == pytest.approx(simhash.meeting(bits))
-    assert 1 - (1 - agree * simhash.WITHIN) ** tables >= 0.95
-
-
 @needs_vocabulary
 def test_registered_ids_decode_from_the_result_alone(spark, tmp_path):
     docs = [(1, "the sea, the sea"), (2, "over the hills"), (3, None), (4, "")]

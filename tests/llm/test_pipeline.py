@@ -103,6 +103,34 @@ def test_each_stage_on_its_own_input(spark, tables, tmp_path):
             assert len({r[5] for r in got if r[5] is not None}) == sum(n for n, _ in packing.patterns(lengths, packing.CAPACITY))
 
 
+def test_near_stage_drops_every_copy_at_the_threshold(spark):
+    """Copies 19 or 20 bits from their originals, and no nearer to anything else."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 9))) for _ in range(20_000)]
+    tried = []
+    for _ in range(900):
+        w = rng.choices(vocabulary, k=60)
+        tried.append(" ".join(w))
+        for at in rng.sample(range(60), 9):
+            w[at] = rng.choice(vocabulary)
+            tried.append(" ".join(w))
+    prints, _ = simhash.fingerprints(pa.array(tried))
+    texts, copies = [], 0
+    for k in range(0, len(tried), 10):
+        far = simhash.distance(prints[k], prints[k + 1 : k + 10])
+        just = np.flatnonzero((far == simhash.NEAR) | (far == simhash.NEAR - 1))
+        texts += [k, k + 1 + int(just[0])] if len(just) else [k]
+        copies += bool(len(just))
+    assert copies > 400
+    p = prints[texts]
+    i, j = np.triu_indices(len(texts), 1)
+    ok = simhash.distance(p[i], p[j]) <= simhash.NEAR
+    expected = np.unique(simhash.roots(len(texts), i[ok], j[ok])).tolist()
+    docs = spark.createDataFrame([(k, tried[t], "en", "s", len(tried[t])) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_stage(spark, docs, "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == expected
+
+
 def test_run_gives_what_the_stages_give(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:

@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quarry.llm.textvec import SPACE, batches, classes, codepoints, expand, span_hash
 
 Q = 16
+#: Characters of the grams of passages in which the edits allowed can break every gram of Q: those of 20 to 31, 40 to 47 and 60 to 63 characters.
+SHORT_Q = 10
 #: Edits allowed per character of a passage.
 RATE = 0.05
 #: Passages with fewer characters, after normalising, share no gram with anything, and aren't looked for.
@@ -37,20 +39,22 @@ def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, ends, np.flatnonzero(keep) - offsets[owner[keep]]
 
 
+def gram(length: int) -> int:
+    """Characters of the grams that a passage of this length is looked for by: the lemma asks for one at least with them."""
+    return Q if length + 1 > Q * (int(RATE * length) + 1) else SHORT_Q
+
+
 def budget(length: int) -> tuple[int, int]:
     """Edits allowed in a passage of this length, and the grams that a match within them shares with it at least."""
-    edits = min(int(RATE * length), length // Q - 1)
-    return edits, length + 1 - Q * (edits + 1)
+    edits = int(RATE * length)
+    return edits, length + 1 - gram(length) * (edits + 1)
 
 
 @dataclass
-class Passages:
-    """The benchmark's passages and their grams, sorted by hash."""
+class Grams:
+    """Grams of one size, sorted by hash, and where in which passages they are."""
 
-    ids: pa.Array
-    texts: list[np.ndarray]
-    edits: np.ndarray
-    least: np.ndarray
+    q: int
     keys: np.ndarray
     first: np.ndarray
     count: np.ndarray
@@ -59,9 +63,39 @@ class Passages:
     sieve: np.ndarray
 
 
+@dataclass
+class Passages:
+    """The benchmark's passages and, for each size that they ask for, their grams."""
+
+    ids: pa.Array
+    texts: list[np.ndarray]
+    edits: np.ndarray
+    least: np.ndarray
+    grams: list[Grams]
+
+
 _SIEVE_BITS = 22
 
 
+def _grams(texts: list[np.ndarray], q: int) -> Grams | None:
+    """Grams of the passages that are looked for by those of size q, if there are any."""
+    hashes, item, place = [], [], []
+    for k, t in enumerate(texts):
+        if gram(len(t)) == q:
+            at = np.arange(len(t) - q + 1)
+            hashes.append(span_hash(t, at, at + q))
+            item.append(np.full(len(at), k))
+            place.append(at)
+    if not hashes:
+        return None
+    h, item, place = (np.concatenate(x) for x in (hashes, item, place))
+    order = np.argsort(h, kind="stable")
+    keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
+    sieve = np.zeros(1 << _SIEVE_BITS, bool)
+    sieve[(keys >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)] = True
+    return Grams(q, keys, first, count, item[order], place[order], sieve)
+
+
 def passages(ids: pa.Array, texts: list[str], least: int = LEAST) -> Passages:
     cps, ends, _ = normalised(pa.array(texts, pa.string()))
     kept, own = [], []
@@ -72,18 +106,8 @@ def passages(ids: pa.Array, texts: list[str], least: int = LEAST) -> Passages:
             kept.append(t)
             own.append(k)
     limits = np.array([budget(len(t)) for t in kept], np.int64).reshape(-1, 2)
-    hashes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, t in enumerate(kept):
-        at = np.arange(len(t) - Q + 1)
-        hashes.append(span_hash(t, at, at + Q))
-        item.append(np.full(len(at), k))
-        place.append(at)
-    h, item, place = (np.concatenate(x) for x in (hashes, item, place))
-    order = np.argsort(h, kind="stable")
-    keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
-    sieve = np.zeros(1 << _SIEVE_BITS, bool)
-    sieve[(keys >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)] = True
-    return Passages(ids.take(pa.array(own, pa.int64())), kept, limits[:, 0], limits[:, 1], keys, first, count, item[order], place[order], sieve)
+    grams = [g for q in (Q, SHORT_Q) if (g := _grams(kept, q))]
+    return Passages(ids.take(pa.array(own, pa.int64())), kept, limits[:, 0], limits[:, 1], grams)
 
 
 def _align(pattern: np.ndarray, text: np.ndarray, width: int) -> tuple[int, int]:
@@ -99,23 +123,30 @@ def _align(pattern: np.ndarray, text: np.ndarray, width: int) -> tuple[int, int]
     return int(row[k]), min(len(text), len(pattern) + k)
 
 
+def _shared(g: Grams, cps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, passage and diagonal of each gram that they share."""
+    if len(cps) < g.q:
+        return (np.zeros(0, np.int64),) * 3
+    at = np.arange(len(cps) - g.q + 1)
+    h = span_hash(cps, at, at + g.q)
+    at = at[g.sieve[(h >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)]]
+    k = np.minimum(np.searchsorted(g.keys, h[at]), len(g.keys) - 1)
+    hit = g.keys[k] == h[at]
+    at, k = at[hit], k[hit]
+    doc = np.searchsorted(ends, at, "right") - 1
+    inside = at + g.q <= ends[doc + 1]
+    at, k, doc = at[inside], k[inside], doc[inside]
+    group, n = expand(g.count[k])
+    where = g.first[k][group] + n
+    return doc[group], g.item[where], at[group] - ends[doc][group] - g.place[where]
+
+
 def find(p: Passages, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     """(text, passage, start, end, edits) of the best place of each passage in each text that has one within its budget."""
     cps, ends, places = normalised(texts)
-    if not len(p.keys) or len(cps) < Q:
+    if not p.grams:
         return []
-    at = np.arange(len(cps) - Q + 1)
-    h = span_hash(cps, at, at + Q)
-    at = at[p.sieve[(h >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)]]
-    k = np.minimum(np.searchsorted(p.keys, h[at]), len(p.keys) - 1)
-    hit = p.keys[k] == h[at]
-    at, k = at[hit], k[hit]
-    doc = np.searchsorted(ends, at, "right") - 1
-    inside = at + Q <= ends[doc + 1]
-    at, k, doc = at[inside], k[inside], doc[inside]
-    group, n = expand(p.count[k])
-    where = p.first[k][group] + n
-    item, diagonal, doc = p.item[where], at[group] - ends[doc][group] - p.place[where], doc[group]
+    doc, item, diagonal = (np.concatenate(x) for x in zip(*(_shared(g, cps, ends) for g in p.grams)))
     # bands of 2 (e + 1) diagonals begin at every (e + 1)th, so e + 1 neighbouring ones are whole in one of them
     band = diagonal // (p.edits[item] + 1)
     doc, item, band = np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1])
@@ -165,10 +196,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, at_once: int = AT_ONCE, least
     """One row per document row and passage found in it: doc_id, item_id, start, end, edits.
 
     Texts are compared by their lower-cased letters and digits.  A passage of m
-    characters is found where an edit distance of 5 % of m (and such that the
-    lemma still asks for a shared gram) suffices: a match shares at least
-    m + 1 - q (e + 1) grams of q = 16 characters with it, all in one band of
-    diagonals; bands with as many are verified by banded alignment.  Of several
+    characters is found where an edit distance e of at most 5 % of m suffices: a
+    match shares at least m + 1 - q (e + 1) grams of q characters with it, all in
+    one band of diagonals; bands with as many are verified by banded alignment.
+    Grams have 16 characters, or 10 where with 16 that number isn't positive, so
+    that no match is left out.  Of several
     places in one document the one with fewest edits, then the first, is given;
     start and end count code points of the given text.
 

@@ -251,8 +251,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), root, group_id, n_links of every row; all but doc_id and th null where there is no fingerprint."""
+def _grouped(docs: DataFrame, nameless: bool = False) -> DataFrame:
+    """doc_id, th (hash of the text), root, group_id, n_links of every row; all but doc_id and th null where there is no fingerprint.
+
+    Rows with a null doc_id are grouped only if `nameless`.
+    """
 
     def prints(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in given:
@@ -265,14 +268,14 @@ def _grouped(docs: DataFrame) -> DataFrame:
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     marks = written(texts.mapInArrow(prints, f"doc_id {kind}, th bigint, f1 bigint, f2 bigint"), "fingerprints")
-    distinct = marks.where("doc_id IS NOT NULL AND f1 IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    known = F.lit(True) if nameless else F.col("doc_id").isNotNull()
+    distinct = marks.where(known & F.col("f1").isNotNull()).groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     found = components(links(distinct, distinct.count()))
     named = written(distinct.join(found, "node", "left").select("f1", "f2", "id", "n", F.coalesce("root", "node").alias("root")), "named")
     of_group = named.groupBy("root").agg(F.min("id").alias("group_id"), (F.sum("n") - 1).alias("n_links"))
     named = named.select("f1", "f2", "root").join(of_group, "root")
     out = marks.join(named, ["f1", "f2"], "left")
-    known = F.col("doc_id").isNotNull()
     return out.select("doc_id", "th", *[F.when(known, F.col(c)).alias(c) for c in ("root", "group_id", "n_links")])
 
 
@@ -295,20 +298,31 @@ def groups(docs: DataFrame) -> DataFrame:
     return _grouped(docs).select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, nameless: bool = False) -> DataFrame:
     """One row of each group, with all columns, and the rows that are in none.
 
     It is the row with the smallest doc_id, of several with it that with the
     smallest hash of the text, then of the row.  Rows that `groups` finds near
     nothing because they have no words, and rows with a null doc_id, all stay,
-    but of several with one doc_id and text one stays.
+    but of several with one doc_id and text one stays.  With `nameless`, rows
+    with a null doc_id are in groups like others, and one of them is kept only
+    where no row of the group has a doc_id; those without words all stay.
     """
     th, kept, kept_th, n = fresh(docs, "th", "kept", "kept_th", "n")
-    marks = _grouped(docs).where("doc_id IS NOT NULL")
-    first = marks.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("m")).select("m.doc_id", "m.th")
-    keep = first.unionAll(marks.where("root IS NULL").select("doc_id", "th").distinct()).select(F.col("doc_id").alias(kept), F.col("th").alias(kept_th))
+    marks = _grouped(docs, nameless)
+    first = marks.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("m")).select("m.doc_id", "m.th")
+    keep = first.unionAll(marks.where("root IS NULL").select("doc_id", "th").distinct()).where("doc_id IS NOT NULL").select(F.col("doc_id").alias(kept), F.col("th").alias(kept_th))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    w = Window.partitionBy("doc_id", th).orderBy(F.xxhash64(*(c.cast("string") for c in columns)))
+    order = F.xxhash64(*(c.cast("string") for c in columns))
     named = docs.where("doc_id IS NOT NULL").withColumn(th, F.xxhash64("text"))
     named = named.join(keep, (F.col("doc_id") == F.col(kept)) & (F.col(th) == F.col(kept_th)), "left_semi")
-    return named.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).select(*columns).unionAll(docs.where("doc_id IS NULL").select(*columns))
+    out = named.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", th).orderBy(order))).where(F.col(n) == 1).select(*columns)
+    rest = docs.where("doc_id IS NULL")
+    if nameless:
+        rest = rest.withColumn(th, F.xxhash64("text"))
+        met = marks.where("doc_id IS NULL AND root IS NOT NULL").select(F.col("th").alias(kept_th))
+        best = first.where("doc_id IS NULL").select(F.col("th").alias(kept_th))
+        same = F.col(th) == F.col(kept_th)
+        one = rest.join(best, same, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(th).orderBy(order))).where(F.col(n) == 1)
+        out, rest = out.unionAll(one.select(*columns)), rest.join(met, same, "left_anti")
+    return out.unionAll(rest.select(*columns))

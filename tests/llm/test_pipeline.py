@@ -131,6 +131,60 @@ def test_near_stage_drops_every_copy_at_the_threshold(spark):
     assert sorted(r["doc_id"] for r in got) == expected
 
 
+def test_near_stage_groups_rows_without_a_doc_id(spark):
+    """They are copies like others, and kept only where nothing near has a doc_id; texts without words are near nothing."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 9))) for _ in range(5000)]
+    a, b, c = (rng.choices(vocabulary, k=120) for _ in range(3))
+
+    def near(w):
+        w = list(w)
+        w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        return " ".join(w)
+
+    texts = [(4, " ".join(a)), (None, near(a)), (None, " ".join(a)), (None, " ".join(b)), (None, near(b)), (None, near(b)), (None, " ".join(c)), (None, " ".join(c)), (6, near(c)), (5, "?!"), (None, "?!"), (None, "?!"), (None, None), (None, None), (7, None)]
+    prints, _ = simhash.fingerprints(pa.array([t for _, t in texts[:9]]))
+    far = simhash.distance(prints[:, None], prints[None])
+    assert (far[:3, :3] <= simhash.NEAR).all() and (far[3:6, 3:6] <= simhash.NEAR).all() and (far[6:9, 6:9] <= simhash.NEAR).all()
+    assert min(far[:3, 3:].min(), far[3:6, 6:].min()) > simhash.NEAR
+    docs = spark.createDataFrame([(i, t, "en", f"row {k}", 0) for k, (i, t) in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = rows(corpus_pipeline.near_stage(spark, docs, ""))
+    of_b = [r for r in got if r[3] in ("row 3", "row 4", "row 5")]
+    assert len(of_b) == 1
+    assert sorted(r[3] for r in got if r not in of_b) == sorted(f"row {k}" for k in (0, 8, 9, 10, 11, 12, 13, 14))
+    assert len(rows(corpus_pipeline.near_stage(spark, docs.where("doc_id IS NULL"), ""))) == 3 + 4
+
+
+def fewest_edits(pattern, text):
+    """Of the whole pattern against any stretch of the text."""
+    row = np.zeros(len(text) + 1, int)
+    t, step = np.array([ord(c) for c in text]), np.arange(len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        row = np.minimum.accumulate(np.append(i, np.minimum(row[:-1] + (t != ord(c)), row[1:] + 1)) - step) + step
+    return int(row.min())
+
+
+def test_decontamination_stage_drops_leaks_at_the_threshold(spark, tmp_path):
+    """Passages of every length, with as many edits as 5 % allow, spread so that few grams stay whole; and with one more."""
+    rng = random.Random(17)
+    benchmark, docs = [], []
+    for length in range(16, 130):
+        item = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=length))
+        benchmark.append((length, item))
+        for more, kind in [(0, "put"), (0, "cut"), (0, "add"), (1, "put"), (2, "put")]:
+            chars, edits = list(item), length // 20 + more
+            for at in sorted((k * length // (edits + 1) for k in range(1, edits + 1)), reverse=True):
+                chars[at : at + (kind != "add")] = [] if kind == "cut" else ["9"]
+            text = " ".join(["".join(rng.choices("abcdefgh", k=30)), "".join(chars), "".join(rng.choices("abcdefgh", k=30))])
+            docs.append((len(docs), text, length))
+    leaks = {i for i, text, length in docs if 20 * fewest_edits(benchmark[length - 16][1], text) <= length}
+    assert {i for i, *_ in docs if i % 5 < 3} <= leaks and len(leaks) < 0.65 * len(docs)
+    spark.createDataFrame(benchmark, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = spark.createDataFrame([(i, text, "en", "s", len(text)) for i, text, _ in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"] for r in corpus_pipeline.decontamination_stage(spark, given, str(tmp_path)).collect()}
+    assert got == {i for i, *_ in docs} - leaks
+
+
 def test_run_gives_what_the_stages_give(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:

@@ -389,6 +389,17 @@ class Scrolls:
             s.ends = self._until(keep)
         return page
 
+    def rest(self, scroll_id: str, keep: str | None = None) -> DataFrame:
+        """All pages that `next` would still give, as one table: each row with its page, counted from the export's first as 0, in `__page`.
+
+        However many pages are left, they are one scan; the export is at its end afterwards.
+        """
+        self.next(scroll_id, keep)
+        s = self.open[scroll_id]
+        start = s.at - s.size
+        s.at = max(s.at, s.df.agg(F.max("__row")).first()[0] or 0)
+        return s.df.where(F.col("__row") > start).withColumn("__page", F.expr(f"(__row - 1) div {s.size}")).drop("__row")
+
     def clear(self, scroll_id: str) -> bool:
         return self.open.pop(scroll_id, None) is not None
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -224,16 +223,13 @@ register(
 
 
 def scroll_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A frozen export of all that match, page by page, to the empty one at its end."""
+    """A frozen export of all that match: its first page, all others with their numbers, and the empty one at its end."""
     scrolls = Scrolls(scratch(spark, "scrolls"))
     size = 4000
-    key, page, _ = scrolls.start(index(spark, sf_dir, "orders"), {"query": {"term": {"o_orderstatus": "F"}}, "sort": [{"o_totalprice": "desc"}], "size": size}, "1m")
-    pages = []
-    while page.head(1):
-        pages.append(page.select(F.lit(len(pages)).cast("bigint").alias("page"), "o_orderkey"))
-        page = scrolls.next(key, "1m")
-    assert scrolls.clear(key)
-    return reduce(DataFrame.unionAll, pages) if pages else page.select(F.lit(0).cast("bigint").alias("page"), "o_orderkey")
+    key, first, _ = scrolls.start(index(spark, sf_dir, "orders"), {"query": {"term": {"o_orderstatus": "F"}}, "sort": [{"o_totalprice": "desc"}], "size": size}, "1m")
+    pages = first.select(F.lit(0).cast("bigint").alias("page"), "o_orderkey").unionAll(scrolls.rest(key, "1m").select(F.col("__page").alias("page"), "o_orderkey"))
+    assert not scrolls.next(key).head(1) and scrolls.clear(key)
+    return pages
 
 
 register("scroll_pages", scroll_pages, "SELECT (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) // 4000 AS page, o_orderkey FROM orders WHERE o_orderstatus = 'F'")

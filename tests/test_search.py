@@ -150,6 +150,17 @@ def test_scrolls(spark, catalog, tmp_path):
     assert duration("90s") == 90 and duration("2d") == 172800
 
 
+def test_rest_of_a_scroll(spark, catalog, tmp_path):
+    scrolls = Scrolls(str(tmp_path))
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    key, _, _ = scrolls.start(catalog.index(catalog.one("books")), {"size": 1, "sort": "_doc"}, "1m")
+    assert [r["_id"] for r in scrolls.next(key).collect()] == ["1"]
+    assert sorted((r["__page"], r["_id"]) for r in scrolls.rest(key).collect()) == [(k, str(k)) for k in range(2, 6)]
+    assert not scrolls.next(key).head(1) and not scrolls.rest(key).head(1) and scrolls.clear(key)
+    with pytest.raises(SearchError):
+        scrolls.rest(key)
+
+
 def test_plans_reach_the_scan(spark, tmp_path):
     from quarry.operators.search import Index
 

@@ -69,34 +69,49 @@ def _any(wanted: list[tuple[str, str]]) -> Column:
     return out
 
 
+#: Terms that are put in order at once, in whole rows: what bounds a worker's memory, however many rows a batch has.
+AT_ONCE = 2**18
+
+
 def _postings(field: str):
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in given:
-            lists = b.column("tokens")
-            counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            terms = lists.flatten().dictionary_encode()
-            codes = terms.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(counts)), counts)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            real = codes >= 0
-            row, place, codes = row[real], place[real], codes[real]
-            order = np.lexsort((place, codes, row))
-            row, place, codes = row[order], place[order], codes[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (codes[1:] != codes[:-1])
-            at = np.flatnonzero(new)
-            head = np.ones(len(at), bool)
-            head[1:] = row[at[1:]] != row[at[:-1]]
-            own, length = row[at], np.bincount(row, minlength=len(counts))
-            cut = pa.array(np.append(at, len(row)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(ROW).take(pa.array(own)), pa.array([field] * len(at), pa.string()), terms.dictionary.take(pa.array(codes[at])), pa.array(length[own], pa.int32()), pa.array(head), pa.ListArray.from_arrays(cut, pa.array(place, pa.int32()))],
-                names=["__row", "field", "term", "length", "first", "positions"],
-            )
+            counts = _lengths(b.column("tokens"))
+            piece = (np.cumsum(counts) - counts) // AT_ONCE
+            starts = np.append(np.flatnonzero(np.diff(piece, prepend=-1)), len(counts))
+            for first, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                yield _ordered(field, b.slice(first, end - first))
 
     return run
 
 
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _ordered(field: str, b: pa.RecordBatch) -> pa.RecordBatch:
+    """The postings of a few rows."""
+    lists = b.column("tokens")
+    counts = _lengths(lists)
+    terms = lists.flatten().dictionary_encode()
+    codes = terms.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    place = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    real = codes >= 0
+    row, place, codes = row[real], place[real], codes[real]
+    key = row * np.int64(len(terms.dictionary) + 1) + codes
+    order = np.argsort(key, kind="stable")  # places rise within a row as it is
+    key, row, place, codes = key[order], row[order], place[order], codes[order]
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    own, length = row[at], np.bincount(row, minlength=len(counts))
+    head = np.diff(own, prepend=-1) != 0
+    cut = pa.array(np.append(at, len(row)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [b.column(ROW).take(pa.array(own)), pa.repeat(field, len(at)), terms.dictionary.take(pa.array(codes[at])), pa.array(length[own], pa.int32()), pa.array(head), pa.ListArray.from_arrays(cut, pa.array(place, pa.int32()))],
+        names=["__row", "field", "term", "length", "first", "positions"],
+    )
+
+
 def build(df: DataFrame, tokens: dict[str, Column], path: str) -> Terms | None:
     """The term tables of a table whose rows are numbered in `__row`; `tokens` has each field's terms by position.
 

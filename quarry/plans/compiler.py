@@ -60,7 +60,7 @@ class Context:
     element: Column | None = None
     root: str | None = None
     terms: Terms | None = None  # of the index, if its texts were analysed at refresh
-    postings: dict[tuple[str, str], str] = field(default_factory=dict)  # column of the positions of (field, term)
+    postings: dict[tuple[str, str | tuple[str, ...]], str] = field(default_factory=dict)  # column of the positions of (field, term), or of those of several terms
     lengths: dict[str, str] = field(default_factory=dict)
     joined: frozenset[str] = frozenset()  # of those columns the ones that `df` has already
     frequencies: dict[tuple[str, str], int] = field(default_factory=dict)
@@ -102,8 +102,8 @@ class Context:
     def indexed(self, path: str) -> bool:
         return self.terms is not None and self.element is None and path in self.terms.totals
 
-    def positions(self, path: str, term: str) -> Column:
-        """Where a term stands in an analysed text, NULL if nowhere."""
+    def positions(self, path: str, term: str | tuple[str, ...]) -> Column:
+        """Where a term stands in an analysed text, NULL if nowhere; of several terms (term, positions) of each that it has, NULL or none if it has none."""
         name = self.postings.setdefault((path, term), f"__at_{len(self.postings)}")
         return F.col(name)
 
@@ -255,7 +255,7 @@ def term_score(ctx: Context, path: str, f: Field, term: str) -> Column:
     return bm25(ctx.rarity(path, f, term, n), tf, ctx.length(path, f), average)
 
 
-def bm25(idf: float, tf: Column, length: Column, average: float) -> Column:
+def bm25(idf: float | Column, tf: Column, length: Column, average: float) -> Column:
     average = average or 1.0
     return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
 
@@ -577,10 +577,36 @@ def phrase_prefix_field(ctx: Context, path: str, f: Field, value, most: int) ->
     if key not in ctx.needed:
         ctx.needed[key] = expanded(ctx, path, f, prefix, most)
     found = ctx.needed[key]
+    if found and ctx.indexed(path):
+        return expanded_leaf(ctx, path, f, before, at, found)
     parts = [phrase_leaf(ctx, path, f, [*before, (at, t)]) if before else match_terms(ctx, path, f, t) for t in found]
     return either(parts)
 
 
+def expanded_leaf(ctx: Context, path: str, f: Field, before: list[tuple[int, str]], at: int, ends: list[str]) -> Scored:
+    """A phrase whose last term is any of several: they share one column and one expression, however many they are. The scores of those that match are added up."""
+    n, average = ctx.corpus(path, f)
+    rest = sum(ctx.rarity(path, f, t, n) for _, t in before)
+    idf = F.create_map(*[F.lit(x) for t in ends for x in (t, rest + ctx.rarity(path, f, t, n))])
+    found, length = ctx.positions(path, tuple(ends)), ctx.length(path, f)
+    has = all_of([ctx.has(path, f, t) for t in dict.fromkeys(t for _, t in before)]) if before else F.lit(True)
+    some = has & found.isNotNull() & (F.size(found) > 0)
+
+    def scored(tf: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.sort_array(found), F.lit(0.0), lambda sum_, x: sum_ + bm25(F.element_at(idf, x["term"]), tf(x), length, average))
+
+    if not before:
+        return Scored(some, scored(lambda x: F.size(x["positions"])))
+    begins = functools.reduce(F.array_intersect, [F.transform(ctx.positions(path, t), _shifted(k)) for k, t in before])
+
+    def shifted(x: Column) -> Column:
+        return F.transform(x["positions"], _shifted(at))
+
+    match = let(begins, lambda b: F.arrays_overlap(b, F.flatten(F.transform(found, shifted))))
+    score = let(begins, lambda b: scored(lambda x: F.size(F.array_intersect(b, shifted(x)))))
+    return Scored(some & F.coalesce(match, F.lit(False)), F.when(some, score).otherwise(0.0))
+
+
 def match_terms(ctx: Context, path: str, f: Field, term: str) -> Scored:
     return Scored(ctx.has(path, f, term), term_score(ctx, path, f, term))
 

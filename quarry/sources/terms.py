@@ -45,22 +45,29 @@ class Terms:
         found = self.dictionary.where((F.col("field") == field) & F.col("term").startswith(prefix))
         return [r[0] for r in found.select("term").orderBy("term").limit(most).collect()]
 
-    def columns(self, wanted: dict[tuple[str, str], str], lengths: dict[str, str]) -> DataFrame:
+    def columns(self, wanted: dict[tuple[str, str | tuple[str, ...]], str], lengths: dict[str, str]) -> DataFrame:
         """A row for each document that has one of the terms: positions by (field, term) and lengths by field, in the named columns.
 
         The empty term stands for the first one of each document, whichever it is.
+        Several terms have one column, a list of (term, positions).
         """
         found = self.postings.where(_any(list(wanted)))
-        made = [F.max(F.when((F.col("field") == f) & (F.col("term") == t if t else F.col("first")), F.col("positions"))).alias(name) for (f, t), name in wanted.items()]
+
+        def made_of(f: str, t: str | tuple[str, ...]) -> Column:
+            if isinstance(t, tuple):
+                return F.collect_list(F.when((F.col("field") == f) & F.col("term").isin(list(t)), F.struct("term", "positions")))
+            return F.max(F.when((F.col("field") == f) & (F.col("term") == t if t else F.col("first")), F.col("positions")))
+
+        made = [made_of(f, t).alias(name) for (f, t), name in wanted.items()]
         made += [F.max(F.when(F.col("field") == f, F.col("length"))).alias(name) for f, name in lengths.items()]
         return found.groupBy(ROW).agg(*made)
 
 
-def _any(wanted: list[tuple[str, str]]) -> Column:
+def _any(wanted: list[tuple[str, str | tuple[str, ...]]]) -> Column:
     """Rows of these fields and terms, so that both reach the scan."""
     by: dict[str, list[str]] = {}
     for f, t in wanted:
-        by.setdefault(f, []).append(t)
+        by.setdefault(f, []).extend(t if isinstance(t, tuple) else [t])
     out = F.lit(False)
     for f, terms in by.items():
         out = out | ((F.col("field") == f) & F.col("term").isin(terms))

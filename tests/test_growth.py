@@ -26,3 +26,18 @@ def test_postings_are_made_of_a_few_rows_at_a_time(monkeypatch):
         want += [(row, t, sum(map(len, places.values())), p) for t, p in places.items()]
     assert sorted((r["__row"], r["term"], r["length"], r["positions"]) for r in got) == sorted(want)
     assert sorted(r["__row"] for r in got if r["first"]) == sorted({w[0] for w in want}) and {r["field"] for r in got} == {"f"}
+
+
+@pytest.mark.parametrize("text", ["of th", "th", "one of th", "of of th"])
+def test_many_expansions_share_a_column(spark, tmp_path, text):
+    made = [(k, f"one of th{k % 40} and of th{k % 3} th th{k % 11} " + "of " * (k % 4) + ("th" if k % 6 else "no")) for k in range(120)] + [(200, "nothing here"), (201, None), (202, "of")]
+    plain = Index.of_table("t", spark.createDataFrame(made, "id bigint, x string"), "id", x={"type": "text"})
+    query = {"match_phrase_prefix": {"x": text}}
+    whole = plain.analysed(str(tmp_path))
+    found = search(whole, {"query": query}).everything
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("max(CASE") <= 6
+    want = search(plain, {"query": query}).everything
+    score = lambda df: sorted((r["id"], round(r["_score"], 7)) for r in df.select("id", "_score").collect())
+    assert score(found) == score(want) and score(found)
+    rest = search(whole, {"query": {"bool": {"must_not": query}}, "sort": "_doc"}).total()
+    assert rest == len(made) - len(score(want))

@@ -9,7 +9,8 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,6 +101,15 @@ class Analyzer:
 
     def column(self, text: Column) -> Column:
         """Terms of a string column; NULL for NULL."""
+        terms = self.unstemmed(text)
+        return _stem_udf(self.stemmer)(terms) if self.stemmer else terms
+
+    def stem(self, term: Column) -> Column:
+        """The stem of a single term, as `unstemmed` has them."""
+        return F.get(_stem_udf(self.stemmer)(F.array(term)), F.lit(0)) if self.stemmer else term
+
+    def unstemmed(self, text: Column) -> Column:
+        """As `column`, before stemming."""
         if self.tokenizer == "keyword":
             terms = F.when(text.isNotNull(), F.array(text))
         else:
@@ -121,7 +131,7 @@ class Analyzer:
             elif f == "stop":
                 stops = sorted(self.stops)
                 terms = F.transform(terms, lambda t: F.when(~t.isin(stops), t))
-        return _stem_udf(self.stemmer)(terms) if self.stemmer else terms
+        return terms
 
 
 def _fold_column(t: Column) -> Column:
@@ -136,18 +146,12 @@ def _stem(kind: str | None, term: str) -> str:
 
 
 def _stem_udf(kind: str):
-    @F.pandas_udf("array<string>")
-    def stems(batch: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}  # every distinct term of the batch is stemmed once
-
-        def one(term):
-            if term is None:
-                return None
-            if term not in known:
-                known[term] = _stem(kind, term)
-            return known[term]
-
-        return batch.map(lambda terms: None if terms is None else [one(t) for t in terms])
+    @F.arrow_udf("array<string>")
+    def stems(lists: pa.Array) -> pa.Array:
+        words = lists.flatten().dictionary_encode()  # every distinct term of the batch is stemmed once, and no other becomes a Python object
+        stemmed = pa.array([_stem(kind, t) for t in words.dictionary.to_pylist()], pa.string())
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), stemmed.take(words.indices), mask=lists.is_null())
 
     return stems
 

@@ -371,8 +371,11 @@ register("multi_index_avg", multi_index_avg, f"SELECT round(avg(balance), 6) AS
 
 def term_counts(analyzer: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        terms = read(spark, sf_dir, "documents").select(F.explode(BUILT_IN[analyzer].column(F.col("text"))).alias("term"))
-        return terms.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
+        a = BUILT_IN[analyzer]
+        terms = read(spark, sf_dir, "documents").select(F.explode(a.unstemmed(F.col("text"))).alias("term"))
+        counted = terms.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
+        # only distinct terms are stemmed
+        return counted.select(a.stem(F.col("term")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n")) if a.stemmer else counted
 
     return run
 

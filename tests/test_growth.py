@@ -41,3 +41,17 @@ def test_many_expansions_share_a_column(spark, tmp_path, text):
     assert score(found) == score(want) and score(found)
     rest = search(whole, {"query": {"bool": {"must_not": query}}, "sort": "_doc"}).total()
     assert rest == len(made) - len(score(want))
+
+
+def test_only_distinct_terms_are_stemmed(spark, tmp_path):
+    spark.createDataFrame([(1, "les chevaux, le cheval"), (2, None), (3, "l'ascension des chevaux")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["analyze_french"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [("ascension", 1), ("cheval", 3)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("EvalPython") < plan.index("count(1)") < plan.index("Generate")
+
+
+def test_stems_of_a_column(spark):
+    df = spark.createDataFrame([("the ponies of John's cats",), (None,), ("",), ("the",), ("cats ponies",)], "t string").coalesce(1)
+    got = [r[0] for r in df.select(BUILT_IN["english"].column(F.col("t"))).collect()]
+    assert got == [[None, "poni", None, "john", "cat"], None, [], [None], ["cat", "poni"]]

@@ -35,14 +35,17 @@ class Index:
     hidden: tuple[str, ...] = ("_seq_no",)
     terms: Terms | None = None
 
-    def analysed(self, path: str) -> Index:
-        """The index with its texts analysed once: its rows, numbered, and the term tables are written below `path`."""
+    def analysed(self, path: str, spread: bool = True) -> Index:
+        """The index with its texts analysed once: its rows, numbered, and the term tables are written below `path`.
+
+        Without `spread` the rows are taken to be dealt to tasks already; to ask would run the shuffles that they come from.
+        """
         ctx = Context(self.mapping, self.df, 0)
         texts = [p for p, f in self.mapping.fields.items() if f.type == "text" and not self.mapping.nested_root(p)]
         for p in texts:
             ctx.tokens(p, self.mapping.fields[p])
         least = self.df.sparkSession.sparkContext.defaultParallelism
-        df = self.df if self.df.rdd.getNumPartitions() >= least else self.df.repartition(least)  # few large files: analysis is the work
+        df = self.df if not spread or self.df.rdd.getNumPartitions() >= least else self.df.repartition(least)  # few large files: analysis is the work
         df = saved(df.withColumn(ROW, F.monotonically_increasing_id()), f"{path}/rows")
         return replace(self, df=df, hidden=(*self.hidden, ROW), terms=build(df, {p: ctx.token_columns[p][1] for p in texts}, f"{path}/terms"))
 

@@ -5,17 +5,19 @@ from __future__ import annotations
 import copy
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.errors import DocumentParsing, IllegalArgument, MapperParsing, Parsing, SearchError, Unsupported, VersionConflict
 from quarry.functions.dates import from_millis
-from quarry.operators.mapping import SPARK, Field, Mapping, grown, leaves
+from quarry.operators.mapping import FLOATS, INTEGERS, SPARK, Field, Mapping, grown, leaves
 
 OPS = ("index", "create", "update", "delete")
 LOG = "_id string, _seq_no bigint, _version bigint, _deleted boolean, _source string"
@@ -36,10 +38,10 @@ class State:
 
 
 def deep_merge(old: dict, new: dict) -> dict:
-    """Objects are merged, everything else is replaced."""
-    out = copy.deepcopy(old)
+    """Objects are merged, everything else is replaced; what stays as it was is shared with the old and the new one."""
+    out = dict(old)
     for k, v in new.items():
-        out[k] = deep_merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else copy.deepcopy(v)
+        out[k] = deep_merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
 
 
@@ -52,8 +54,60 @@ def checked(mapping: Mapping, doc) -> Mapping:
     return mapping
 
 
-def apply(state: State, op: str, body: dict | None, mapping: Mapping, seq_no: int, if_seq_no: int | None = None, if_primary_term: int | None = None) -> tuple[State, str, Mapping]:
-    """The state after one action, its result (created, updated, deleted, not_found, noop), and the mapping as grown."""
+def plain(mapping: Mapping) -> Callable[[dict], dict | None]:
+    """What `typed` gives of a document that `grown` adds nothing for, found at once; None if it isn't as plain as that.
+
+    Plain are single values of mapped fields that have their JSON type already.
+    """
+    tree: dict = {}
+    for path, f in mapping.fields.items():
+        if not f.array and not mapping.nested_root(path) and not (mapping.join and path.split(".")[0] == mapping.join.name):
+            kind = "text" if f.type in ("text", "keyword") else "float" if f.type in FLOATS else INTEGERS.get(f.type, f.type)
+            _put(tree, path, kind)
+
+    def read(doc: dict, node: dict) -> dict | None:
+        out = {}
+        for name, v in doc.items():
+            kind = node.get(name)
+            if kind is None:
+                return None
+            if v is None and type(kind) is not dict:
+                continue
+            t = type(v)
+            if t is str:
+                if kind != "text":
+                    return None
+            elif t is float or t is int:
+                if kind == "float":
+                    if t is int:
+                        if not -(2**63) <= v < 2**63:
+                            return None
+                        v = float(v)
+                elif t is float or type(kind) is not int or not -(1 << kind - 1) <= v < 1 << kind - 1:
+                    return None
+            elif t is bool:
+                if kind != "boolean":
+                    return None
+            elif t is dict and type(kind) is dict:
+                v = read(v, kind)
+                if v is None:
+                    return None
+                if not v:
+                    continue
+            else:
+                return None
+            out[name] = v
+        return out
+
+    return lambda doc: read(doc, tree) if type(doc) is dict else None
+
+
+def apply(state: State, op: str, body: dict | None, mapping: Mapping, seq_no: int, if_seq_no: int | None = None, if_primary_term: int | None = None, known: Callable[[dict], dict | None] | None = None) -> tuple[State, str, Mapping]:
+    """The state after one action, its result (created, updated, deleted, not_found, noop), and the mapping as grown.
+
+    With `known`, a mapping's `plain`, documents that it reads aren't checked
+    further, and the body becomes part of the state as it is.
+    """
     if (if_seq_no is None) != (if_primary_term is None):
         raise IllegalArgument("if_seq_no and if_primary_term go together")
     if if_seq_no is not None and (not state.live or state.seq_no != if_seq_no or if_primary_term != 1):
@@ -82,8 +136,9 @@ def apply(state: State, op: str, body: dict | None, mapping: Mapping, seq_no: in
             source = body.get("upsert") or (body.get("doc") if body.get("doc_as_upsert") else None)
             if source is None:
                 raise DocumentMissing("document missing")
-    mapping = checked(mapping, source)
-    return State(state.version + 1, seq_no, copy.deepcopy(source)), "updated" if state.live else "created", mapping
+    if known is None or known(source) is None:
+        mapping = checked(mapping, source)
+    return State(state.version + 1, seq_no, copy.deepcopy(source) if known is None else source), "updated" if state.live else "created", mapping
 
 
 class DocumentMissing(SearchError):
@@ -157,6 +212,9 @@ def _join(mapping: Mapping, out: dict, given) -> None:
         out["_join_parent"] = str(parent)
 
 
+_HEAD = ("_id", "_seq_no", "_version", "_source")
+
+
 def schema_of(mapping: Mapping) -> T.StructType:
     tree: dict = {}
     for path, f in sorted(mapping.fields.items()):
@@ -180,15 +238,20 @@ def schema_of(mapping: Mapping) -> T.StructType:
 def typed_documents(live: DataFrame, mapping: Mapping) -> DataFrame:
     """Live documents of a log as typed columns."""
     schema = schema_of(mapping)
-    names = [f.name for f in schema.fields if f.name not in ("_id", "_seq_no", "_version", "_source")]
+    names = [f.name for f in schema.fields if f.name not in _HEAD]
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = plain(mapping)
         for b in batches:
-            rows = [typed(mapping, json.loads(s)) for s in b["_source"]]
-            out = {n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names}
-            yield pd.DataFrame({"_id": b["_id"].to_list(), "_seq_no": b["_seq_no"].to_list(), "_version": b["_version"].to_list(), "_source": b["_source"].to_list(), **out})
+            rows = []
+            for text in b.column("_source").to_pylist():
+                doc = json.loads(text)
+                row = known(doc)
+                rows.append(typed(mapping, doc) if row is None else row)
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in _HEAD], *[pa.array([r.get(n) for r in rows], arrow.field(n).type) for n in names]], names=[*_HEAD, *names])
 
-    return live.select("_id", "_seq_no", "_version", "_source").mapInPandas(run, schema)
+    return live.select(*_HEAD).mapInArrow(run, schema)
 
 
 # -- bulk -----------------------------------------------------------------------------------------------
@@ -246,7 +309,7 @@ def read_bulk(spark: SparkSession, path: str, default_index: str | None = None)
 
 
 #: Actions that one group folds; a group has whole `_id`s.
-IDS_AT_ONCE = 20_000
+IDS_AT_ONCE = 5_000
 _OUTCOME = "_id string, _seq_no bigint, _version bigint, _deleted boolean, _source string, position bigint, op string, result string, error string"
 
 
@@ -257,51 +320,65 @@ def fold(live: DataFrame, actions: DataFrame, mapping: Mapping, base: int) -> Da
     """
     known = live.selectExpr("_id AS id", "_seq_no", "_version", "_deleted", "_source")
     groups = max(1, actions.count() // IDS_AT_ONCE)
-    columns = [c.split()[0] for c in _OUTCOME.split(", ")]
+    arrow = to_arrow_schema(T._parse_datatype_string(_OUTCOME))
 
-    def run(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    def run(key, old: pa.Table, new: pa.Table) -> pa.Table:
+        known = plain(mapping)
         states = {
-            i: State(int(v), int(s), None if d else json.loads(text)) for i, s, v, d, text in zip(old["id"], old["_seq_no"], old["_version"], old["_deleted"], old["_source"])
+            i: State(v, s, None if d else json.loads(text)) for i, s, v, d, text in zip(*(old.column(c).to_pylist() for c in ("id", "_seq_no", "_version", "_deleted", "_source")))
         }
         own: dict[str, Mapping] = {}
         out = []
-        for doc_id, position, op, given in new.sort_values("position")[["id", "position", "op", "body"]].itertuples(index=False, name=None):
-            seq, error, result = base + int(position), None, None
+        for doc_id, position, op, given in zip(*(new.sort_by("position").column(c).to_pylist() for c in ("id", "position", "op", "body"))):
+            seq, error, result = base + position, None, None
             before = state = states.get(doc_id) or State()
             try:
                 body = json.loads(given) if given is not None else None
-                state, result, own[doc_id] = apply(state, op, body, own.get(doc_id, mapping), seq)
+                state, result, grew = apply(state, op, body, own.get(doc_id, mapping), seq, known=known)
+                if grew is not mapping:
+                    own[doc_id] = grew
                 wrote = state is not before
             except SearchError as e:
                 error, wrote = f"{e.kind}: {e}", False
             states[doc_id] = state
-            out.append((doc_id, seq if wrote else None, state.version if wrote else None, not state.live if wrote else None, json.dumps(state.source) if wrote and state.live else None, int(position), op, result, error))
-        return pd.DataFrame(out, columns=columns)
+            out.append((doc_id, seq if wrote else None, state.version if wrote else None, not state.live if wrote else None, json.dumps(state.source) if wrote and state.live else None, position, op, result, error))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
 
     bucket = F.pmod(F.xxhash64("id"), F.lit(groups)).alias("bucket")
-    return known.select("*", bucket).groupBy("bucket").cogroup(actions.select("*", bucket).groupBy("bucket")).applyInPandas(run, _OUTCOME)
+    return known.select("*", bucket).groupBy("bucket").cogroup(actions.select("*", bucket).groupBy("bucket")).applyInArrow(run, _OUTCOME)
 
 
 def new_fields(actions: DataFrame, mapping: Mapping) -> dict[str, Field]:
     """Fields that the documents of a load add, each as the first document with it has it; one row per path comes back."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = plain(mapping)
         for b in batches:
             rows = []
-            for position, op, body in zip(b["position"], b["op"], b["body"]):
+            for position, op, body in zip(*(b.column(c).to_pylist() for c in ("position", "op", "body"))):
                 body = json.loads(body) if body else None
                 if op == "update":
                     docs = [body[k] for k in ("doc", "upsert") if isinstance((body or {}).get(k), dict)]
                 else:
                     docs = [body] if isinstance(body, dict) else []
                 for doc in docs:
+                    if known(doc) is not None:
+                        continue
                     try:
                         added = grown(mapping, doc).fields
                     except SearchError:
                         continue
-                    rows += [(p, int(position), f.type, bool(f.array), "keyword" in f.fields) for p, f in added.items() if mapping.fields.get(p) != f]
-            yield pd.DataFrame(rows, columns=["path", "position", "type", "array", "sub"])
-
-    found = actions.where("op <> 'delete'").select("position", "op", "body").mapInPandas(run, "path string, position bigint, type string, array boolean, sub boolean")
+                    rows += [(p, position, f.type, bool(f.array), "keyword" in f.fields) for p, f in added.items() if mapping.fields.get(p) != f]
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], schema=arrow)
+
+    added = "path string, position bigint, type string, array boolean, sub boolean"
+    arrow = to_arrow_schema(T._parse_datatype_string(added))
+    documents = actions.where("op <> 'delete'").select("position", "op", "body")
+    least = actions.sparkSession.sparkContext.defaultParallelism
+    if documents.rdd.getNumPartitions() < 2 * least:  # few large files: reading the documents is the work
+        documents = documents.repartition(2 * least, "position")
+    found = documents.mapInArrow(run, added)
     first = found.groupBy("path").agg(F.min_by(F.struct("type", "sub"), "position").alias("first"), F.max("array").alias("array"))
     out = {}
     for r in first.collect():

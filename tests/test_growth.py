@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.analysis import BUILT_IN
+from quarry.operators import mapping as maps
 from quarry.operators.search import Index, search
 from quarry.plans.queries import QUERIES
-from quarry.sources import terms
+from quarry.sources import documents, terms
 
 
 def test_postings_are_made_of_a_few_rows_at_a_time(monkeypatch):
@@ -55,3 +56,35 @@ def test_stems_of_a_column(spark):
     df = spark.createDataFrame([("the ponies of John's cats",), (None,), ("",), ("the",), ("cats ponies",)], "t string").coalesce(1)
     got = [r[0] for r in df.select(BUILT_IN["english"].column(F.col("t"))).collect()]
     assert got == [[None, "poni", None, "john", "cat"], None, [], [None], ["cat", "poni"]]
+
+
+_PROPERTIES = {"t": {"type": "text"}, "k": {"type": "keyword"}, "d": {"type": "double"}, "f": {"type": "float"}, "b": {"type": "byte"}, "l": {"type": "long"}, "y": {"type": "boolean"}, "w": {"type": "date"}, "o": {"properties": {"k": {"type": "keyword"}, "p": {"properties": {"l": {"type": "long"}}}}}, "n": {"type": "nested", "properties": {"k": {"type": "keyword"}}}, "j": {"type": "join", "relations": {"a": "c"}}}
+_VALUES = [None, True, False, 0, 1, -1, 127, 128, -128, -129, 2**63 - 1, 2**63, -(2**63), 10**400, 1.0, 1.5, float("inf"), "", "x", "5", "true", "2024-01-01", [], [1], ["x"], {}, {"k": "x"}, {"k": None}, {"p": {"l": 3}}, {"p": {"l": None}}, {"p": 1}, {"q": 1}, {"name": "a"}, [{"k": "x"}]]
+
+
+def test_plain_documents_are_those_that_change_no_mapping(monkeypatch):
+    mapping = maps.parse({"properties": _PROPERTIES})
+    read = documents.plain(mapping)
+    found = {}
+    for name in [*_PROPERTIES, "o.k", "new"]:
+        for v in _VALUES:
+            doc = {name: v}
+            row = read(doc)
+            if row is not None:
+                assert repr(row) == repr(documents.typed(mapping, doc)) and maps.grown(mapping, doc).fields == mapping.fields
+                found.setdefault(name, []).append(v)
+    assert {n: len(v) for n, v in found.items()} == {"t": 6, "k": 6, "d": 13, "f": 13, "b": 6, "l": 10, "y": 3, "w": 1, "o": 5}
+    assert read([]) is None and read({}) == {}
+    monkeypatch.setattr(documents, "checked", None)  # it isn't asked about plain ones
+    state, result, same = documents.apply(documents.State(), "index", {"k": "x", "o": {"k": "y"}}, mapping, 0, known=read)
+    state, result, same = documents.apply(state, "update", {"doc": {"o": {"p": {"l": 1}}}}, mapping, 1, known=read)
+    assert (state.source, state.version, result) == ({"k": "x", "o": {"k": "y", "p": {"l": 1}}}, 2, "updated") and same is mapping
+
+
+def test_states_share_nothing_with_what_is_written():
+    mapping, body = maps.parse({"properties": {"o": {"properties": {"l": {"type": "long"}, "m": {"type": "long"}}}}}), {"o": {"l": [1]}}
+    first, _, mapping = documents.apply(documents.State(), "index", body, mapping, 0)
+    second, _, _ = documents.apply(first, "update", {"doc": {"o": {"m": 2}}}, mapping, 1)
+    body["o"]["l"].append(9)
+    second.source["o"]["l"].append(8)
+    assert first.source == {"o": {"l": [1]}} and second.source == {"o": {"l": [1, 8], "m": 2}}

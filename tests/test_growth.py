@@ -3,12 +3,14 @@
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from quarry.functions.analysis import BUILT_IN
 from quarry.operators import mapping as maps
 from quarry.operators.search import Index, search
 from quarry.plans.queries import QUERIES
 from quarry.sources import documents, terms
+from quarry.sources.catalog import Catalog
 
 
 def test_postings_are_made_of_a_few_rows_at_a_time(monkeypatch):
@@ -88,3 +90,23 @@ def test_states_share_nothing_with_what_is_written():
     body["o"]["l"].append(9)
     second.source["o"]["l"].append(8)
     assert first.source == {"o": {"l": [1]}} and second.source == {"o": {"l": [1, 8], "m": 2}}
+
+
+def test_overview_reads_no_sources(catalog_of_two):
+    ran = []
+    collect = DataFrame.collect
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(DataFrame, "collect", lambda df: (ran.append(df._jdf.queryExecution().executedPlan().toString()), collect(df))[1])
+        counted = catalog_of_two.overview()
+    assert [(r["docs"], r["deleted"]) for r in counted.collect()] == [(1, 1)]
+    assert ran and not any("_source:" in p for p in ran)
+
+
+@pytest.fixture
+def catalog_of_two(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "root"))
+    c.write("i", "index", "1", {"t": "x"})
+    c.write("i", "index", "2", {"t": "y"})
+    c.write("i", "delete", "1")
+    c.refresh()
+    return c

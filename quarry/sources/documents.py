@@ -333,7 +333,7 @@ def fold(live: DataFrame, actions: DataFrame, mapping: Mapping, base: int) -> Da
             seq, error, result = base + position, None, None
             before = state = states.get(doc_id) or State()
             try:
-                body = json.loads(given) if given is not None else None
+                body = json.loads(given) if given is not None else None  # the text of a document that is written as it came stays
                 state, result, grew = apply(state, op, body, own.get(doc_id, mapping), seq, known=known)
                 if grew is not mapping:
                     own[doc_id] = grew
@@ -341,11 +341,15 @@ def fold(live: DataFrame, actions: DataFrame, mapping: Mapping, base: int) -> Da
             except SearchError as e:
                 error, wrote = f"{e.kind}: {e}", False
             states[doc_id] = state
-            out.append((doc_id, seq if wrote else None, state.version if wrote else None, not state.live if wrote else None, json.dumps(state.source) if wrote and state.live else None, position, op, result, error))
+            out.append((doc_id, seq if wrote else None, state.version if wrote else None, not state.live if wrote else None, (given if state.source is body else json.dumps(state.source)) if wrote and state.live else None, position, op, result, error))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
 
     bucket = F.pmod(F.xxhash64("id"), F.lit(groups)).alias("bucket")
-    return known.select("*", bucket).groupBy("bucket").cogroup(actions.select("*", bucket).groupBy("bucket")).applyInArrow(run, _OUTCOME)
+    spark = actions.sparkSession
+    # by number, as few tasks of unlike work that Spark would merge them into run in uneven waves
+    tasks = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    old, new = (t.select("*", bucket).repartition(tasks, "bucket").groupBy("bucket") for t in (known, actions))
+    return old.cogroup(new).applyInArrow(run, _OUTCOME)
 
 
 def new_fields(actions: DataFrame, mapping: Mapping) -> dict[str, Field]:
